@@ -5,10 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import leaks, sentences
+from quernstone.llm import dedup, leaks, lookalike, pii, sentences
 from quernstone.session import table
 
 
+def _redacted(spark: SparkSession, d: str) -> DataFrame:
+    logs = pii.redact(table(spark, d, "request_logs"), "id", ["request_body", "response_body"], "request_logs")
+    return logs.unionByName(pii.redact(table(spark, d, "retrain_queue"), "id", ["text"], "retrain_queue"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(_redacted(spark, d))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every field with placeholders in place of its items, redelivered rows once."""
+    return _redacted(spark, d).dropDuplicates(["table_name", "record_id", "field_name"]).withColumn(
+        "pii_types", F.array_join("pii_types", ",")
+    )
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that hold items, per table, field and type."""
+    return p1_found(spark, d).groupBy("table_name", "field_name", "pii_type").agg(F.count(F.lit(1)).alias("n_fields"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.copies(dedup.keyed(table(spark, d, "retrain_queue")))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One record per group with its number of copies."""
+    queue = table(spark, d, "retrain_queue")
+    kept = dedup.groups(dedup.keyed(queue)).select(F.col("keep_id").alias("id"), "n_copies")
+    return kept.join(queue.select("id", "text", "label", "source"), "id")
+
+
+def _forms(spark: SparkSession, d: str, with_text: bool = False) -> DataFrame:
+    queue = lookalike.forms(table(spark, d, "retrain_queue"), "id", "text", "retrain_queue", with_text)
+    return queue.unionByName(lookalike.forms(table(spark, d, "dataset_examples"), "example_id", "text", "dataset_examples", with_text))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_look(_forms(spark, d))
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in its one consistent form."""
+    return _forms(spark, d, True).select("table_name", F.col("id").alias("record_id"), "form")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "holdout_items"))
 
@@ -42,6 +88,13 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
+    "p1_report": p1_report,
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
+    "p4_found": p4_found,
+    "p4_forms": p4_forms,
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p10_found": p10_found,
