@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import dedup, leaks, lookalike, pii, sentences
+from quernstone.llm import dedup, leaks, lookalike, mixing, pii, sentences, splits
 from quernstone.session import table
 
 
@@ -55,6 +55,20 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d, True).select("table_name", F.col("id").alias("record_id"), "form")
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return splits.overlaps(table(spark, d, "dataset_examples"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs ordered by plain comparison, one train and one val example each."""
+    a, b = F.col("val_id"), F.col("train_id")
+    return _overlaps(spark, d).select(F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id")).distinct()
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return splits.report(_overlaps(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "holdout_items"))
 
@@ -71,6 +85,25 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    return _mix(spark, d).chosen()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares."""
+    return _mix(spark, d).shares()
+
+
+def p9_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The mix as one globally ordered stream."""
+    return _mix(spark, d).stream()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
@@ -95,8 +128,13 @@ QUERIES = {
     "p2_groups": p2_groups,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
     "p8_found": p8_found,
     "p8_report": p8_report,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p9_stream": p9_stream,
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
 }
