@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import dedup, leaks, lookalike, mixing, pii, sentences, splits
+from quernstone.llm import cuts, dedup, leaks, lookalike, mixing, pii, sentences, splits
 from quernstone.session import table
 
 
@@ -41,6 +41,30 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return kept.join(queue.select("id", "text", "label", "source"), "id")
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return cuts.judged(
+        {
+            "retrain_queue": (table(spark, d, "retrain_queue"), "id", "text", "source"),
+            "attributions": (table(spark, d, "attributions"), "id", "text", "method"),
+            "feedback_reports": (table(spark, d, "feedback_reports"), "feedback_id", "text", "channel"),
+        }
+    )
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("is_cut").select("table_name", "record_id")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of cuts per source, method and channel."""
+    return (
+        _judged(spark, d)
+        .groupBy("table_name", F.col("grp").alias("source"))
+        .agg(F.count(F.lit(1)).alias("n_texts"), F.count(F.when(F.col("is_cut"), 1)).alias("n_cut"))
+        .withColumn("cut_rate", F.round(F.col("n_cut") / F.col("n_texts"), 6))
+    )
+
+
 def _forms(spark: SparkSession, d: str, with_text: bool = False) -> DataFrame:
     queue = lookalike.forms(table(spark, d, "retrain_queue"), "id", "text", "retrain_queue", with_text)
     return queue.unionByName(lookalike.forms(table(spark, d, "dataset_examples"), "example_id", "text", "dataset_examples", with_text))
@@ -126,6 +150,8 @@ QUERIES = {
     "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
     "p6_found": p6_found,
