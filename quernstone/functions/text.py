@@ -30,11 +30,20 @@ def strip_invisible(c: Column) -> Column:
     return F.regexp_replace(c, f"[{ZERO_WIDTH}]", "")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def entropy(c: Column) -> Column:
-    """Shannon entropy in bits per character; 0 for an empty text."""
+    """Shannon entropy in bits per character; 0 for an empty text.
+
+    Equal characters are brought together by one sort and counted as runs, so the cost
+    does not depend on the number of different characters.
+    """
     n = F.length(c)
-    share = F.transform(F.array_distinct(F.split(c, "")), lambda ch: (n - F.length(F.replace(c, ch, F.lit("")))) / n)
-    total = F.aggregate(F.filter(share, lambda p: p > 0), F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(c, "")), ""), F.lit(r"(?s)((.)\2*)"), F.lit(1))
+    total = let(n, lambda m: F.aggregate(runs, F.lit(0.0), lambda a, r: a - (F.length(r) / m) * F.log2(F.length(r) / m)))
     return F.when(n > 0, total).otherwise(0.0)
 
 
@@ -57,27 +66,29 @@ def gibberish_score(c: Column) -> Column:
     The cheap densities gate the patterns; the second pattern is a bounded form of
     "ten short words, then brackets" that neither recurses nor backtracks widely.
     """
-    punct, ent = punct_density(c), entropy(c)
     shaped = (
         c.rlike(r"[}{\]\[\\|`~]{3,}")
         | c.rlike(r"(?U)(?:[A-Za-z]{1,2}[\W_]){5,}")
         | (c.rlike(r"[}\]\[\\]{2}") & c.rlike(r"(?U)\b(?:\w{1,3}\s+){9}\w{1,3}\s*.*[}\]\[\\]{2,}"))
     )
-    gated = (punct > 0.12) & (ent > 4.0)
-    nondict = nondict_ratio(c)
-    ladder = (
-        F.when((punct > 0.10) & (ent > 4.0) & (nondict > 0.5), 0.75)
-        .when((punct > 0.15) & (ent > 4.2), 0.82)
-        .when((ent > 4.8) & (nondict > 0.65), 0.70)
-        .when(punct > 0.30, 0.65)
-        .otherwise(0.0)
-    )
     tail = F.substring(c, F.greatest(F.length(c) - 49, F.lit(1)), F.lit(50))
-    t_punct, t_ent = punct_density(tail), entropy(tail)
     long_text = F.length(c) > 60
-    a = F.when(long_text & (t_punct > 0.20) & (t_ent > 4.0) & (punct < 0.12), 0.80).otherwise(0.0)
-    b = F.when(long_text & (t_punct > 0.30), 0.75).otherwise(0.0)
-    return F.when(c.isNull() | (F.length(py_strip(c)) < 20), 0.0).when(gated & shaped, 0.78).otherwise(F.greatest(ladder, a, b))
+
+    def score(m: Column) -> Column:
+        gated = (m.punct > 0.12) & (m.ent > 4.0)
+        ladder = (
+            F.when((m.punct > 0.10) & (m.ent > 4.0) & (nondict_ratio(c) > 0.5), 0.75)
+            .when((m.punct > 0.15) & (m.ent > 4.2), 0.82)
+            .when((m.ent > 4.8) & (nondict_ratio(c) > 0.65), 0.70)
+            .when(m.punct > 0.30, 0.65)
+            .otherwise(0.0)
+        )
+        a = F.when(long_text & (m.t_punct > 0.20) & (m.punct < 0.12), F.when(entropy(tail) > 4.0, 0.80).otherwise(0.0)).otherwise(0.0)
+        b = F.when(long_text & (m.t_punct > 0.30), 0.75).otherwise(0.0)
+        return F.when(gated & shaped, 0.78).otherwise(F.greatest(ladder, a, b))
+
+    measures = F.struct(punct_density(c).alias("punct"), entropy(c).alias("ent"), punct_density(tail).alias("t_punct"))
+    return F.when(c.isNull() | (F.length(py_strip(c)) < 20), 0.0).otherwise(let(measures, score))
 
 
 def perplexity_band(ppl: Column) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.config import EngineConfig
-from quernstone.functions.text import gibberish_score, level_for
-from quernstone.sources.rules import Rule
+from quernstone.functions.text import gibberish_score, let, level_for
+from quernstone.sources.rules import Rule, needed_literals
 
 # Trust weights by tag.
 RULE_WEIGHT = {"RET": 0.4, "TOOL": 0.5}
@@ -31,16 +31,24 @@ def _by_tag(tag: Column, weights: dict[str, float], other: float = 1.0) -> Colum
 def rule_matches(text: Column, rules: list[Rule]) -> Column:
     """array<struct<label,weight>> of the rules found in ``text``, in rule order.
 
-    One alternation of all patterns is tried first; single rules are evaluated only
-    for texts that it hits (native ``when`` is lazy).  A null text matches nothing.
+    A pattern is tried only on texts that hold one of the literals it needs (native
+    ``when`` is lazy), so a text without any of them costs a few substring searches.
+    A null text matches nothing.
     """
+    none = F.array().cast("array<struct<label:string,weight:double>>")
     if not rules:
-        return F.array().cast("array<struct<label:string,weight:double>>")
-    loose = [r for r in rules if not r.case_sensitive]
-    hit = text.rlike("(?iU)" + "|".join(f"(?:{r.pattern})" for r in loose)) if loose else F.lit(False)
-    hit = reduce(lambda a, r: a | text.rlike(r.java), [r for r in rules if r.case_sensitive], hit)
-    each = F.array_compact(F.array(*[F.when(text.rlike(r.java), F.struct(F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"))) for r in rules]))
-    return F.when(F.coalesce(hit, F.lit(False)), each).otherwise(F.array().cast("array<struct<label:string,weight:double>>"))
+        return none
+
+    def matches(low: Column) -> Column:
+        each = []
+        for r in rules:
+            gate = [low.contains(x) for x in needed_literals(r.pattern)]
+            test = reduce(lambda a, b: a | b, gate) & text.rlike(r.java) if gate else text.rlike(r.java)
+            each.append(F.when(test, F.struct(F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"))))
+        return F.array_compact(F.array(*each))
+
+    # the long s is an s without case
+    return F.when(text.isNotNull(), let(F.translate(F.lower(text), "ſ", "s"), matches)).otherwise(none)
 
 
 def rule_score(matches: Column, tag: Column) -> Column:

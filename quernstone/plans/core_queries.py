@@ -14,7 +14,7 @@ from quernstone.config import EngineConfig
 from quernstone.functions import text as tx
 from quernstone.functions.normalizer import normalized
 from quernstone.operators import decide, detect, evaluation, panels, retrain, segments
-from quernstone.session import table
+from quernstone.session import spread, table
 from quernstone.sources import sinks
 from quernstone.sources.rules import load_rules
 from quernstone.streaming import live, sse
@@ -357,6 +357,11 @@ def _logs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     return table(spark, d, "request_logs").select("id", "request_body", *cols).dropDuplicates(["id"])
 
 
+def _queue(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of the queue, spread for per-text work."""
+    return spread(table(spark, d, "retrain_queue").select("id", "source", "text"))
+
+
 _J = """logs AS (SELECT DISTINCT ON (id) * FROM request_logs ORDER BY id),
 raw AS (SELECT id, CASE WHEN json_valid(request_body) THEN CASE WHEN json_type(request_body) = 'VARCHAR' THEN CASE WHEN json_valid(request_body->>'$') THEN CAST(request_body->>'$' AS JSON) END ELSE CAST(request_body AS JSON) END END AS j FROM logs),
 msgs AS (SELECT id, unnest(json_extract(j, '$.messages[*]')) AS m, generate_subscripts(json_extract(j, '$.messages[*]'), 1) - 1 AS idx FROM raw WHERE json_type(j, '$.messages') = 'ARRAY'),
@@ -432,7 +437,7 @@ _FOLD = f"fo AS (SELECT request_id, max(score) AS confidence, {_LEVEL.format(x='
     SELECT label, count(*) AS n FROM h GROUP BY 1""",
 )
 def rule_hits(spark, d):
-    t = table(spark, d, "retrain_queue").select(_seed(F.col("text"), F.col("id")).alias("t"))
+    t = _queue(spark, d).select(_seed(F.col("text"), F.col("id")).alias("t"))
     return t.select(F.explode(detect.rule_matches(F.col("t"), RULES)).alias("m")).groupBy("m.label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -460,14 +465,14 @@ def screening_both_texts(spark, d):
 
 @query("normalized_changes")
 def normalized_changes(spark, d):
-    q = table(spark, d, "retrain_queue")
+    q = _queue(spark, d)
     n = normalized(F.col("text"))
     return q.select("source", (n != F.col("text")).alias("changed")).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("changed"), 1)).alias("n_changed"))
 
 
 @query("text_entropy", "SELECT id, round(CASE WHEN length(text) > 0 THEN list_entropy(string_split(text, '')) ELSE 0 END, 6) AS entropy FROM retrain_queue")
 def text_entropy(spark, d):
-    return table(spark, d, "retrain_queue").select("id", F.round(tx.entropy(F.col("text")), 6).alias("entropy"))
+    return _queue(spark, d).select("id", F.round(tx.entropy(F.col("text")), 6).alias("entropy"))
 
 
 _PUNCT_SQL = _sql_str(tx.PUNCT)
@@ -475,7 +480,7 @@ _PUNCT_SQL = _sql_str(tx.PUNCT)
 
 @query("punct_density", f"SELECT id, round(CASE WHEN length(text) > 0 THEN (length(text) - length(translate(text, {_PUNCT_SQL}, ''))) / length(text) ELSE 0 END, 6) AS density FROM retrain_queue")
 def punct_density(spark, d):
-    return table(spark, d, "retrain_queue").select("id", F.round(tx.punct_density(F.col("text")), 6).alias("density"))
+    return _queue(spark, d).select("id", F.round(tx.punct_density(F.col("text")), 6).alias("density"))
 
 
 _WORDS_SQL = "[" + ", ".join(_sql_str(w) for w in tx.COMMON_WORDS) + "]"
@@ -487,23 +492,23 @@ _WORDS_SQL = "[" + ", ".join(_sql_str(w) for w in tx.COMMON_WORDS) + "]"
     SELECT id, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(x) > 3 AND NOT list_contains({_WORDS_SQL}, x))) / len(w) ELSE 0 END, 6) AS ratio FROM w""",
 )
 def nondict_ratio(spark, d):
-    return table(spark, d, "retrain_queue").select("id", F.round(tx.nondict_ratio(F.col("text")), 6).alias("ratio"))
+    return _queue(spark, d).select("id", F.round(tx.nondict_ratio(F.col("text")), 6).alias("ratio"))
 
 
 @query("gibberish_bands")
 def gibberish_bands(spark, d):
     t = _seed(F.col("text"), F.col("id"))
-    return table(spark, d, "retrain_queue").groupBy(F.round(tx.gibberish_score(t), 2).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    return _queue(spark, d).groupBy(F.round(tx.gibberish_score(t), 2).alias("score")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("rot13_texts", f"SELECT id, md5(translate(text, '{tx.ROT13_FROM}', '{tx.ROT13_TO}')) AS rot_md5 FROM retrain_queue")
 def rot13_texts(spark, d):
-    return table(spark, d, "retrain_queue").select("id", F.md5(tx.rot13(F.col("text"))).alias("rot_md5"))
+    return _queue(spark, d).select("id", F.md5(tx.rot13(F.col("text"))).alias("rot_md5"))
 
 
 @query("invisible_stripped", "SELECT id, length(text) - length(regexp_replace(text, '[\\x{200b}-\\x{200d}\\x{feff}\\x{00ad}\\x{2060}\\x{180e}\\x{200e}\\x{200f}\\x{2061}-\\x{2064}\\x{115f}\\x{1160}\\x{3164}\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]', '', 'g')) AS n_invisible FROM retrain_queue")
 def invisible_stripped(spark, d):
-    return table(spark, d, "retrain_queue").select("id", (F.length("text") - F.length(tx.strip_invisible(F.col("text")))).alias("n_invisible"))
+    return _queue(spark, d).select("id", (F.length("text") - F.length(tx.strip_invisible(F.col("text")))).alias("n_invisible"))
 
 
 @query("decoded_payloads", "SELECT id, length(left(text, 60)) AS n_hex, length(left(text, 60)) AS n_b64 FROM retrain_queue WHERE length(left(text, 60)) >= 4")
@@ -511,7 +516,7 @@ def decoded_payloads(spark, d):
     """Round trip: the head of each text, encoded and decoded again by the native decoders."""
     h = F.left("text", F.lit(60))
     raw = F.encode(h, "UTF-8")
-    q = table(spark, d, "retrain_queue").where(F.length(h) >= 4)
+    q = _queue(spark, d).where(F.length(h) >= 4)
     back = q.select("id", h.alias("h"), tx.hex_decode(F.hex(raw)).alias("x"), tx.b64_decode(F.regexp_replace(F.base64(raw), r"\s", "")).alias("b"))
     return back.where((F.col("x") == F.col("h")) & (F.col("b") == F.col("h"))).select("id", F.length("x").alias("n_hex"), F.length("b").alias("n_b64"))
 
@@ -530,25 +535,25 @@ win AS (SELECT id, list_reverse(scores[-6:]) AS w FROM rw WHERE scores IS NOT NU
 @query(
     "multiturn_final",
     f"""WITH {_RAW}, c AS (SELECT id, coalesce(list_sum(list_transform(w, lambda x, i: x * pow(CAST(0.85 AS DOUBLE), i - 1))), 0) AS cum, len(list_filter(w, lambda x: x >= 0.45)) AS med, w FROM win)
-    SELECT id, round(cum, 6) AS cumulative, CAST(med AS INT) AS medium_count, (cum >= 1.2 OR med >= 3) AS escalate,
+    SELECT id, round(cum + 1e-9, 6) AS cumulative, CAST(med AS INT) AS medium_count, (cum >= 1.2 OR med >= 3) AS escalate,
     CASE WHEN cum >= 1.5 OR med >= 4 THEN 'critical' WHEN cum >= 1.2 OR med >= 3 THEN 'high' WHEN cum >= 1.2 * 2 / 3 OR med >= 2 THEN 'medium' WHEN len(list_filter(w, lambda x: x >= 0.4)) > 0 THEN 'low' ELSE 'none' END AS risk FROM c""",
 )
 def multiturn_final(spark, d):
     w = detect.last_turns(F.col("scores"), CFG)
     r = _raw_scores(spark, d).select("id", w.alias("w"))
     cum, med = detect.decayed_sum(F.col("w"), CFG), F.size(F.filter("w", lambda x: x >= CFG.multiturn_medium))
-    return r.select("id", F.round(cum, 6).alias("cumulative"), med.alias("medium_count"), detect.escalates(cum, med, CFG).alias("escalate"), detect.risk_level(cum, med, F.col("w"), CFG).alias("risk"))
+    return r.select("id", F.round(cum + 1e-9, 6).alias("cumulative"), med.alias("medium_count"), detect.escalates(cum, med, CFG).alias("escalate"), detect.risk_level(cum, med, F.col("w"), CFG).alias("risk"))
 
 
 @query(
     "multiturn_running",
     f"""WITH {_RAW}, e AS (SELECT id, unnest(scores) AS s, generate_subscripts(scores, 1) - 1 AS idx FROM rw WHERE scores IS NOT NULL),
     r AS (SELECT id, idx, list(s) OVER (PARTITION BY id ORDER BY idx ROWS 5 PRECEDING) AS w FROM e)
-    SELECT id, CAST(idx AS INT) AS idx, round(list_sum(list_transform(list_reverse(w), lambda x, i: x * pow(CAST(0.85 AS DOUBLE), i - 1))), 6) AS cumulative FROM r""",
+    SELECT id, CAST(idx AS INT) AS idx, round(list_sum(list_transform(list_reverse(w), lambda x, i: x * pow(CAST(0.85 AS DOUBLE), i - 1))) + 1e-9, 6) AS cumulative FROM r""",
 )
 def multiturn_running(spark, d):
     e = _raw_scores(spark, d).select("id", F.posexplode("scores").alias("idx", "score"))
-    return detect.running_window(e, CFG, "id").select("id", "idx", F.round("cumulative", 6).alias("cumulative"))
+    return detect.running_window(e, CFG, "id").select("id", "idx", F.round(F.col("cumulative") + 1e-9, 6).alias("cumulative"))
 
 
 @query("classifier_requests")

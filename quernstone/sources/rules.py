@@ -28,6 +28,45 @@ class Rule:
         return ("(?U)" if self.case_sensitive else "(?iU)") + self.pattern
 
 
+def needed_literals(pattern: str) -> list[str]:
+    """Lower-case literals of which at least one stands in every text that the pattern
+    finds; empty if there is no such list.  They gate the pattern cheaply."""
+    from re import _constants as c
+    from re import _parser
+
+    def of(seq) -> list[str] | None:
+        best: list[str] | None = None
+        run = ""
+
+        def offer(lits: list[str] | None) -> None:
+            nonlocal best
+            if lits and all(lits) and (best is None or worth(lits) > worth(best)):
+                best = lits
+
+        for op, av in [*seq, (None, None)]:
+            if op is c.LITERAL:
+                run += chr(av).lower()
+                continue
+            offer([run] if run else None)
+            run = ""
+            if op is c.SUBPATTERN:
+                offer(of(av[3]))
+            elif op is c.BRANCH:
+                each = [of(x) for x in av[1]]
+                offer([lit for x in each for lit in x] if all(each) else None)
+            elif op is c.MAX_REPEAT and av[0] > 0:
+                offer(of(av[2]))
+        return best
+
+    def worth(lits: list[str]) -> int:
+        return 4 * min(map(len, lits)) - len(lits)
+
+    try:
+        return of(_parser.parse(pattern)) or []
+    except re.error:
+        return []
+
+
 def parse_rules(text: str) -> list[Rule]:
     """Rules in a YAML text.  A rule without or with a broken pattern is skipped; weight
     defaults to 0.5, label to the first 30 characters of the pattern."""
