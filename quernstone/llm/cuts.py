@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quernstone.session import cut_lineage
+from quernstone.session import cut_lineage, spread
 
 #: lengths to either side that a length is compared with
 NEIGHBOURS = 12
@@ -122,7 +122,7 @@ def _scan(df: DataFrame, table_name: str, id_col: str, text_col: str, group_col:
 
     schema = "is_text boolean, record_id string, grp string, len int, kind string, word string, mid bigint, fin bigint, n_end bigint"
     source = df.select(F.col(id_col).cast("string"), F.col(group_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
-    return source.mapInArrow(run, schema).withColumn("table_name", F.lit(table_name))
+    return spread(source).mapInArrow(run, schema).withColumn("table_name", F.lit(table_name))
 
 
 def limit_lengths(texts: DataFrame) -> DataFrame:

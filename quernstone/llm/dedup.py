@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.operators.skew import heavy_keys, left_join_unique
+from quernstone.session import spread
 
 _SYMBOLS = "$+<=>^`|~"
 #: a mark counts as content only directly between two digits
@@ -127,7 +128,7 @@ def keyed(df: DataFrame, id_col: str = "id", text_col: str = "text", label_col:
                 ["id", "fp", "fields"],
             )
 
-    return df.select(F.col(id_col).cast("string"), text_col, label_col).mapInArrow(run, "id string, fp string, fields array<string>")
+    return spread(df.select(F.col(id_col).cast("string"), text_col, label_col)).mapInArrow(run, "id string, fp string, fields array<string>")
 
 
 def _same_fields() -> F.Column:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.session import spread
+
 WINDOW = 12
 ERRORS = 1
 PIECE = WINDOW // (ERRORS + 1)
@@ -179,7 +181,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
                 found += hit
             yield pa.record_batch([pa.array(ids, b.schema.field(0).type), pa.array(found, item_pa)], [doc_id, item_id])
 
-    return docs.select(doc_id, text).where(F.length(text) > 0).mapInArrow(run, f"{doc_id} {id_type}, {item_id} {item_type}")
+    return spread(docs.select(doc_id, text).where(F.length(text) > 0)).mapInArrow(run, f"{doc_id} {id_type}, {item_id} {item_type}")
 
 
 def _leaks_by_join(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.operators.skew import heavy_keys, left_join_unique
+from quernstone.session import spread
 
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = "аеорсухіїѕјһԁԛԝӏАВЕЗКМНОРСТУХІЇЅЈԚԜӀҮ"
@@ -82,7 +83,8 @@ def forms(df: DataFrame, id_col: str, text_col: str, table_name: str, with_text:
             yield pa.record_batch([b.column(0).cast(pa.string()), *(c.cast(pa.string()) for c in cols)], ["id", *res.column_names])
 
     schema = "id string, form_key string, raw_key string" + (", form string" if with_text else "")
-    out = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).where("t is not null").mapInArrow(run, schema)
+    source = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).where("t is not null")
+    out = spread(source).mapInArrow(run, schema)
     return out.withColumn("table_name", F.lit(table_name))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quernstone.session import cut_lineage
+from quernstone.session import cut_lineage, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the public pattern that splits text before the merges of the rank file.
@@ -49,7 +49,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
 
     t = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col)).mapInArrow(
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col))).mapInArrow(
         run, f"doc_id {t}, source string, tokens bigint"
     )
 

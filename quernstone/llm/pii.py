@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.session import spread
+
 TYPES = ("email", "phone", "id_number", "address", "person_name")
 
 # ---------------------------------------------------------------- fixed values
@@ -436,7 +438,7 @@ def redact(df: DataFrame, id_col: str, fields: list[str], table_name: str) -> Da
                 ["record_id", "field_name", "redacted", "pii_types"],
             )
 
-    out = df.select(F.col(id_col).cast("string"), *fields).mapInArrow(
+    out = spread(df.select(F.col(id_col).cast("string"), *fields)).mapInArrow(
         run, "record_id string, field_name string, redacted string, pii_types array<string>"
     )
     return out.withColumn("table_name", F.lit(table_name))

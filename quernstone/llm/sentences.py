@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.session import spread
+
 # Abbreviations by behaviour, lower case, without the last full stop.
 #: stand before a name or number; their full stop never ends a sentence
 TITLES = frozenset(
@@ -356,4 +358,4 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield pa.record_batch([pa.array(ids, b.schema.field(0).type), pa.array(a, pa.int32()), pa.array(e, pa.int32())], [id_col, "start_pos", "end_pos"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, start_pos int, end_pos int")
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"{id_col} {id_type}, start_pos int, end_pos int")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import lookalike
-from quernstone.session import cut_lineage
+from quernstone.session import cut_lineage, spread
 
 #: share of words kept in common and in order
 KEPT = 0.75
@@ -102,7 +102,7 @@ def canonical(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFram
             yield pa.record_batch(cols, ["id", "cls", "canon", *keep])
 
     schema = "id string, cls string, canon string" + "".join(f", {k} string" for k in keep)
-    return df.select(F.col(id_col), F.col(text_col), *keep).mapInArrow(run, schema)
+    return spread(df.select(F.col(id_col), F.col(text_col), *keep)).mapInArrow(run, schema)
 
 
 def _piece_rows(classes: DataFrame, offer: bool) -> DataFrame:
