@@ -286,6 +286,17 @@ def _lines(doc: Document, par: str, base: int, corpus: frozenset, add) -> None:
     _block(doc, par, base, corpus, add)
 
 
+def _within(spans: list[tuple[int, int]], k: int, i: int, e: int) -> tuple[bool, bool]:
+    """Does a span from the k-th on hold the terminator at ``i`` up to ``e``; does one end at ``e``?"""
+    within = closes = False
+    while k < len(spans) and spans[k][0] < i:
+        b = spans[k][1]
+        within = within or (i < b and e <= b)
+        closes = closes or b == e
+        k += 1
+    return within, closes
+
+
 def _block(doc: Document, par: str, base: int, corpus: frozenset, add) -> None:
     spans = _protected(par) if _QUOTE_CHARS.search(par) else []
     start, si = 0, 0
@@ -295,8 +306,9 @@ def _block(doc: Document, par: str, base: int, corpus: frozenset, add) -> None:
             i, e = m.start(), m.end()
             while si < len(spans) and spans[si][1] < i:
                 si += 1
-            if any(a < i < b and e <= b for a, b in spans[si:]):
-                if not (e < len(par) and par[e] == "“" and any(b == e for _, b in spans[si:])):
+            within, closes = _within(spans, si, i, e)
+            if within:
+                if not (e < len(par) and par[e] == "“" and closes):
                     continue
                 m = _TERM_LOW.match(par, i)  # a German quotation closes with the opening mark of others
         if _ends(doc, par, m, start, corpus):
