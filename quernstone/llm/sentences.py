@@ -33,12 +33,13 @@ TITLES = frozenset(
     "dipl ing г-н г-жа д-р проф акад ул пр пер наб им гр тов डॉ श्री प्रो".split()
 )
 #: need something after them; their full stop never ends a sentence
-INNER = frozenset(
-    "e.g i.e cf vs viz approx ca circa no nos nr sec sect fig figs eq ch chap vol pp art abs bzw z d p т п рис см стр "
-    "гл табл напр ср abb kap vgl sog inkl exkl ggf evtl núm pág cap ed ex al max min tel dept ref al".split()
-)
+INNER = frozenset("e.g i.e cf vs viz approx ca circa bzw z d p т п см ср напр vgl sog inkl exkl ggf z.b d.h u.a т.е p.ej p.ex".split())
+#: stand before a number; before anything else their full stop may end a sentence
+NUMBERED = frozenset("no nos nr núm sec sect fig figs eq ch chap vol pp pág cap art abs abb kap tab рис стр гл табл ст tel".split())
 #: may stand inside a sentence or end one
-EITHER = frozenset("etc usw inc ltd corp co jr bros u.s u.k u.n a.m p.m st.p д др пр г гг в вв е h b ej m".split())
+EITHER = frozenset(
+    "etc usw inc ltd corp co jr bros al ed ex max min dept ref evtl u.s u.k u.n a.m p.m st.p д др г гг в вв е h b ej m".split()
+)
 MONTHS = frozenset(
     "jan feb mar apr jun jul aug sep sept oct nov dec januar februar märz april mai juni juli august september "
     "oktober november dezember".split()
@@ -191,16 +192,18 @@ def _ends(doc: Document, par: str, m: re.Match, start: int, corpus: frozenset) -
         return not (len(tok) <= 2 and nw and nw.group().lower() in MONTHS)
     if len(tok) == 1 and tok.isupper():
         return False  # initial
-    if follow.isdigit() and (low in MONTHS or low in INNER or low in EITHER or low in corpus):
+    if follow.isdigit() and (low in MONTHS or low in NUMBERED or low in INNER or low in EITHER or low in corpus):
+        return False
+    if low in TITLES and (tok != low or not tok.isascii()):  # ms. is no title, Ms. is
         return False
-    if low in TITLES or low in INNER or low in MONTHS:
+    if low in INNER or low in MONTHS:
         return False
     if "ऀ" <= tok[0] <= "ॿ":
         return len(tok) > 3
     if len(tok) == 1:  # single lower-case letters: part of d. h., т. е., p. ej. and the like
         if low not in EITHER:
             return False
-    if low in EITHER:
+    if low in EITHER or low in NUMBERED:
         nw = _NEXT_WORD.match(par, k)
         return not (nw and doc.proper_name(nw.group()))
     if len(tok) <= 6 and (low in corpus or "." in tok or doc.abbreviation(tok)):
