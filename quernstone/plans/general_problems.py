@@ -74,7 +74,42 @@ judged AS (
   FROM refs LEFT JOIN seen USING (k) WHERE k <> '')
 """
 
+
+
+def _read(table_name: str, column: str) -> str:
+    """id, j: the column's JSON, a JSON string read as the JSON in it."""
+    inner = f"{column}->>'$'"
+    return (
+        f"SELECT id, CASE WHEN json_type({column}) = 'VARCHAR' THEN CASE WHEN json_valid({inner}) THEN CAST({inner} AS JSON) END ELSE CAST({column} AS JSON) END AS j "
+        f"FROM {table_name} WHERE json_valid({column})"
+    )
+
+
+def _items(source: str, value: str, path: str, keep: str) -> str:
+    """Rows (keep, v, i) of an array at ``path``, a single value as element 0."""
+    return (
+        f"SELECT {keep}, unnest(l) AS v, generate_subscripts(l, 1) - 1 AS i FROM (SELECT {keep}, CASE json_type({value}, '{path}') WHEN 'ARRAY' THEN json_extract({value}, '{path}[*]') "
+        f"ELSE [json_extract({value}, '{path}')] END AS l FROM {source} WHERE json_type({value}, '{path}') IS NOT NULL)"
+    )
+
+
+_P5_SQL = f"""
+WITH r AS ({_read("request_logs", "request_body")}), d AS ({_read("detections", "detail")}), a AS ({_read("attributions", "tokens")}),
+ro AS (SELECT * FROM r WHERE json_type(j) = 'OBJECT'), dx AS (SELECT * FROM d WHERE json_type(j) = 'OBJECT'),
+m AS ({_items("ro", "j", "$.messages", "id")}), mo AS (SELECT id, v AS mv, i AS o FROM m WHERE json_type(v) = 'OBJECT'),
+p AS ({_items("(SELECT * FROM mo WHERE json_type(mv, '$.content') IN ('ARRAY', 'OBJECT'))", "mv", "$.content", "id, o")}), c AS ({_items("mo", "mv", "$.tool_calls", "id, o")}),
+s AS ({_items("dx", "j", "$.per_segment", "id")}), so AS (SELECT id, v AS sv, i AS o FROM s WHERE json_type(v) = 'OBJECT'), t AS ({_items("so", "sv", "$.triggers", "id, o")}),
+x AS ({_items("(SELECT * FROM dx WHERE json_type(j, '$.xai') = 'OBJECT')", "j", "$.xai.tokens", "id")}),
+k AS ({_items("a", "j", "$", "id")}),
+u AS (
+  SELECT 'request_logs' AS table_name, id, 'message' AS child_kind, i AS outer_idx, -1 AS inner_idx, v FROM m UNION ALL SELECT 'request_logs', id, 'part', o, i, v FROM p
+  UNION ALL SELECT 'request_logs', id, 'tool_call', o, i, v FROM c UNION ALL SELECT 'detections', id, 'segment', i, -1, v FROM s UNION ALL SELECT 'detections', id, 'trigger', o, i, v FROM t
+  UNION ALL SELECT 'detections', id, 'xai_token', i, -1, v FROM x UNION ALL SELECT 'attributions', id, 'token', i, -1, v FROM k)
+SELECT DISTINCT table_name, id AS record_id, child_kind, CAST(outer_idx AS INT) AS outer_idx, CAST(inner_idx AS INT) AS inner_idx FROM u WHERE json_type(v) <> 'NULL'
+"""
+
 ORACLES = {
+    "p5_found": _P5_SQL,
     "p7_found": _REFS_SQL + "SELECT DISTINCT table_name, record_id FROM judged WHERE orphan",
     "p7_report": _REFS_SQL
     + """SELECT table_name, period, count(*) AS n_references, CAST(count(*) FILTER (orphan) AS BIGINT) AS n_orphans,
