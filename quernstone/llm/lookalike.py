@@ -52,12 +52,17 @@ def _form_sql(col: str) -> str:
     return f"trim(regexp_replace({e}, '\\s+', ' ', 'g'))"
 
 
-#: texts made of plain ASCII need no mapping; their form is the text with white space collapsed
-FORM_SQL = (
-    "SELECT row_nr, CASE WHEN regexp_full_match(t, '[\\x00-\\x7f]*') "
-    "THEN trim(regexp_replace(t, '[ \\t\\r\\n\\f\\v]+', ' ', 'g')) ELSE " + _form_sql("t") + " END AS form, "
-    "trim(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g'), E' \\t\\r\\n') AS raw FROM batch ORDER BY row_nr"
-)
+def form_query(source: str, keys: str) -> str:
+    """SQL: ``keys``, form and raw of the texts ``t`` of ``source``.  Texts of plain ASCII need no
+    mapping; their form is the text with white space collapsed."""
+    return (
+        f"SELECT {keys}, CASE WHEN regexp_full_match(t, '[\\x00-\\x7f]*') "
+        "THEN trim(regexp_replace(t, '[ \\t\\r\\n\\f\\v]+', ' ', 'g')) ELSE " + _form_sql("t") + " END AS form, "
+        f"trim(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g'), E' \\t\\r\\n') AS raw FROM {source} WHERE t IS NOT NULL"
+    )
+
+
+FORM_SQL = form_query("batch", "row_nr") + " ORDER BY row_nr"
 
 
 def forms(df: DataFrame, id_col: str, text_col: str, table_name: str, with_text: bool = False) -> DataFrame:

@@ -164,4 +164,11 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
 }
-ORACLES: dict[str, str] = {}
+_FORMS = lookalike.form_query(
+    "(SELECT 'retrain_queue' AS table_name, id, text AS t FROM retrain_queue UNION ALL SELECT 'dataset_examples', example_id, text FROM dataset_examples)", "table_name, id"
+)
+
+ORACLES: dict[str, str] = {
+    "p4_found": f"WITH f AS ({_FORMS}) SELECT DISTINCT a.table_name, a.id AS left_id, b.id AS right_id FROM f a JOIN f b ON a.table_name = b.table_name AND a.form = b.form AND a.raw <> b.raw AND a.id < b.id",
+    "p4_forms": f"WITH f AS ({_FORMS}) SELECT table_name, id AS record_id, form FROM f",
+}
