@@ -441,10 +441,10 @@ def rule_hits(spark, d):
     return t.select(F.explode(detect.rule_matches(F.col("t"), RULES)).alias("m")).groupBy("m.label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("request_screening", f"WITH {_J}, {_SEEDED}, {_SCORED}, {_FOLD} SELECT request_id, round(confidence, 6) AS confidence, level, flagged_segment FROM fo")
+@query("request_screening", f"WITH {_J}, {_SEEDED}, {_SCORED}, {_FOLD} SELECT request_id, round(confidence, 6) AS confidence, level, coalesce(flagged_segment, -1) AS flagged_segment FROM fo")
 def request_screening(spark, d):
     f = detect.fold_requests(detect.score_segments(_seeded_segments(spark, d), RULES))
-    return f.select("request_id", F.round("confidence", 6).alias("confidence"), "level", "flagged_segment")
+    return f.select("request_id", F.round("confidence", 6).alias("confidence"), "level", F.coalesce("flagged_segment", F.lit(-1)).alias("flagged_segment"))
 
 
 @query("screening_decisions", f"WITH {_J}, {_SEEDED}, {_SCORED}, {_FOLD} SELECT l.decision, count(f.request_id) AS n FROM (VALUES ('allow'),('log'),('sanitize'),('exclude'),('block')) l(decision) LEFT JOIN fo f ON f.level = l.decision GROUP BY 1")
@@ -495,7 +495,21 @@ def nondict_ratio(spark, d):
     return _queue(spark, d).select("id", F.round(tx.nondict_ratio(F.col("text")), 6).alias("ratio"))
 
 
-@query("gibberish_bands")
+def _sql_punct(t: str) -> str:
+    return f"CASE WHEN length({t}) > 0 THEN (length({t}) - length(translate({t}, {_PUNCT_SQL}, ''))) / length({t}) ELSE 0 END"
+
+
+@query(
+    "gibberish_bands",
+    f"""WITH s AS (SELECT {_sql_seed('text', 'id')} AS t FROM retrain_queue), w AS (SELECT t, right(t, 50) AS z, regexp_extract_all(lower(t), '[A-Za-zА-Яа-я]{{2,}}') AS w FROM s),
+    m AS (SELECT t, {_sql_punct('t')} AS p, list_entropy(string_split(t, '')) AS e, {_sql_punct('z')} AS tp, list_entropy(string_split(z, '')) AS te,
+      CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(x) > 3 AND NOT list_contains({_WORDS_SQL}, x))) / len(w) ELSE 0 END AS nd FROM w),
+    g AS (SELECT CASE WHEN length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) < 20 THEN 0
+      WHEN p > 0.12 AND e > 4.0 AND (regexp_matches(t, '[}}{{\\]\\[\\\\|`~]{{3,}}') OR regexp_matches(t, '(?:[A-Za-z]{{1,2}}[^\\p{{L}}\\p{{M}}\\p{{N}}]){{5,}}') OR regexp_matches(t, '\\b(?:\\w{{1,3}}\\s+){{9}}\\w{{1,3}}\\s*.*[}}\\]\\[\\\\]{{2,}}')) THEN 0.78
+      ELSE greatest(CASE WHEN p > 0.10 AND e > 4.0 AND nd > 0.5 THEN 0.75 WHEN p > 0.15 AND e > 4.2 THEN 0.82 WHEN e > 4.8 AND nd > 0.65 THEN 0.70 WHEN p > 0.30 THEN 0.65 ELSE 0 END,
+        CASE WHEN length(t) > 60 AND tp > 0.20 AND te > 4.0 AND p < 0.12 THEN 0.80 ELSE 0 END, CASE WHEN length(t) > 60 AND tp > 0.30 THEN 0.75 ELSE 0 END) END AS score FROM m)
+    SELECT round(CAST(score AS DOUBLE), 2) AS score, count(*) AS n FROM g GROUP BY 1""",
+)
 def gibberish_bands(spark, d):
     t = _seed(F.col("text"), F.col("id"))
     return _queue(spark, d).groupBy(F.round(tx.gibberish_score(t), 2).alias("score")).agg(F.count(F.lit(1)).alias("n"))
@@ -556,7 +570,15 @@ def multiturn_running(spark, d):
     return detect.running_window(e, CFG, "id").select("id", "idx", F.round(F.col("cumulative") + 1e-9, 6).alias("cumulative"))
 
 
-@query("classifier_requests")
+@query(
+    "classifier_requests",
+    f"""WITH {_RAW}, b AS (SELECT id, list_max(list_transform(scores, lambda x: least(greatest(x, 0), 1))) AS best FROM rw WHERE len(scores) > 0),
+    c AS (SELECT win.id, best, coalesce(list_sum(list_transform(w, lambda x, i: x * pow(CAST(0.85 AS DOUBLE), i - 1))), 0) AS cum, len(list_filter(w, lambda x: x >= 0.45)) AS med, w FROM win JOIN b USING (id)),
+    e AS (SELECT *, (cum >= 1.2 OR med >= 3) AS escalate FROM c), f AS (SELECT *, CASE WHEN escalate AND cum > best THEN greatest(best, least(0.92, 0.85 * cum)) ELSE best END AS conf FROM e),
+    g AS (SELECT *, {_LEVEL.format(x='conf')} AS l FROM f)
+    SELECT CASE WHEN escalate AND l IN ('allow', 'log') THEN 'sanitize' ELSE l END AS level,
+    CASE WHEN cum >= 1.5 OR med >= 4 THEN 'critical' WHEN cum >= 1.2 OR med >= 3 THEN 'high' WHEN cum >= 1.2 * 2 / 3 OR med >= 2 THEN 'medium' WHEN len(list_filter(w, lambda x: x >= 0.4)) > 0 THEN 'low' ELSE 'none' END AS risk, escalate, count(*) AS n FROM g GROUP BY ALL""",
+)
 def classifier_requests(spark, d):
     """Raw scores as user turns, folded and escalated; counts per level and risk."""
     e = _raw_scores(spark, d).select(F.col("id").alias("request_id"), F.posexplode("scores").alias("idx", "score"))
@@ -601,7 +623,12 @@ def blocked_responses(spark, d):
     return decide.blocked_response(decide.decide(_results(spark, d))).select("request_id", "status", "body")
 
 
-@query("detection_rows")
+@query(
+    "detection_rows",
+    ORACLES["decision_argmax"].rsplit("SELECT request_id, CASE s", 1)[0]
+    + """, q AS (SELECT CASE s WHEN 4 THEN 'block' WHEN 3 THEN 'exclude' WHEN 2 THEN 'sanitize' WHEN 1 THEN 'log' END AS level FROM c WHERE s >= 1),
+    u AS (SELECT layer, level FROM det WHERE layer <> 'decision' AND level <> 'allow' UNION ALL SELECT 'decision', level FROM q) SELECT layer, level, count(*) AS n FROM u GROUP BY ALL""",
+)
 def detection_rows(spark, d):
     r = _results(spark, d)
     return decide.detection_rows(r, decide.decide(r)).groupBy("layer", "level").agg(F.count(F.lit(1)).alias("n"))
