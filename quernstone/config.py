@@ -32,6 +32,7 @@ class EngineConfig:
     multiturn_medium: float = 0.45
     multiturn_cumulative: float = 1.2
     canary_length: int = 16
+    header_prefix: str = "x-guard"
     borderline_on: bool = True
     borderline_min: float = 0.3
     max_queue: int | None = 10_000

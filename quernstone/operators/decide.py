@@ -80,12 +80,13 @@ def detection_rows(results: DataFrame, decisions: DataFrame) -> DataFrame:
     return results.where("level <> 'allow'").select("request_id", "layer", "level", "confidence", F.to_json("triggers").alias("trigger_tokens")).unionByName(own)
 
 
-def blocked_response(decisions: DataFrame) -> DataFrame:
-    """Status, headers and body of blocked requests."""
+def blocked_response(decisions: DataFrame, cfg: EngineConfig | None = None) -> DataFrame:
+    """Status, headers (their prefix is a parameter) and body of blocked requests."""
+    prefix = (cfg or EngineConfig()).header_prefix
     return decisions.where("decision = 'block'").select(
         "request_id",
         F.lit(403).alias("status"),
-        F.create_map(F.lit("x-waf-decision"), F.col("decision"), F.lit("x-waf-confidence"), F.format_number("confidence", 4)).alias("headers"),
+        F.create_map(F.lit(f"{prefix}-decision"), F.col("decision"), F.lit(f"{prefix}-confidence"), F.format_number("confidence", 4)).alias("headers"),
         F.to_json(F.struct(F.struct(F.lit("request_blocked").alias("type"), "decision", "confidence", "triggers").alias("error"))).alias("body"),
     )
 

@@ -124,7 +124,7 @@ def recent_rows(df: DataFrame, limit: int = 50, columns: tuple = ("id", "created
     return df.select(*cols).orderBy(F.desc("created_at"), "id").limit(limit)
 
 
-def latency_from_exposition(lines: DataFrame, name: str = "waf_pipeline_layer_duration_seconds", label: str = "layer") -> DataFrame:
+def latency_from_exposition(lines: DataFrame, name: str = "pipeline_layer_duration_seconds", label: str = "layer") -> DataFrame:
     """(layer, mean_ms) from metrics text: sum / count * 1000 where count > 0, last sample wins."""
     pat = rf'^{name}_(sum|count)\{{[^}}]*{label}="([^"]*)"[^}}]*\}}\s+([-+0-9.eE]+)'
     got = lines.select(

@@ -157,7 +157,7 @@ def layer_latency(spark, d):
     """Per-layer sums and counts written as metrics text and read back."""
     det = _current(spark, d, "detections", "layer", "level", "confidence")
     agg = det.where("confidence is not null").groupBy("layer").agg(F.sum("confidence").alias("s"), F.count(F.lit(1)).alias("n"))
-    name = "waf_pipeline_layer_duration_seconds"
+    name = "pipeline_layer_duration_seconds"
     lines = panels.exposition(agg, f"{name}_sum", ["layer"], "s").unionByName(panels.exposition(agg, f"{name}_count", ["layer"], "n"))
     return panels.latency_from_exposition(lines.withColumn("line_no", F.lit(1)), name)
 
@@ -417,6 +417,19 @@ def body_errors(spark, d):
     return _logs(spark, d).groupBy(decide.body_error(F.col("request_body")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "upstream_roles",
+    f"""WITH {_J}, k AS (SELECT id FROM msgs GROUP BY 1 HAVING bool_and(json_type(m) IN ('OBJECT', 'NULL'))),
+    r AS (SELECT lower(trim(coalesce(m->>'$.role', ''))) AS r, m FROM msgs JOIN k USING (id))
+    SELECT CASE WHEN json_type(m) = 'NULL' THEN NULL WHEN r IN ('retrieved','ret','context','document','rag','search_result','knowledge','tool_output','function_output') OR (r = 'tool' AND NOT json_exists(m, '$.tool_call_id')) THEN 'user' ELSE r END AS role, count(*) AS n FROM r GROUP BY 1""",
+)
+def upstream_roles(spark, d):
+    """Roles of the messages as they go upstream."""
+    up = _logs(spark, d).select(segments.upstream_body(F.col("request_body")).alias("b"))
+    m = up.select(F.explode(F.from_json("b", "messages array<struct<role:string>>").messages).alias("m"))
+    return m.groupBy("m.role").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ------------------------------------------------------------------- detectors
 def _seeded_segments(spark: SparkSession, d: str) -> DataFrame:
     s = segments.explode_segments(_logs(spark, d))

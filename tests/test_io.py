@@ -28,7 +28,7 @@ def test_other_readers(spark, tmp_path):
     assert [r.text for r in readers.read_goals_csv(spark, str(tmp_path / "g.csv")).collect()] == ["do, this"]
     (tmp_path / "j.json").write_text(json.dumps({"jailbreaks": [{"prompt": "p", "jailbroken": True}, {"prompt": "q", "jailbroken": False}]}))
     assert [r.text for r in readers.read_jailbreaks(spark, str(tmp_path / "j.json")).collect()] == ["p"]
-    (tmp_path / "m.txt").write_text('waf_pipeline_layer_duration_seconds_sum{layer="h"} 5e-2\nwaf_pipeline_layer_duration_seconds_count{layer="h"} 1\n# x\nother 3\n')
+    (tmp_path / "m.txt").write_text('pipeline_layer_duration_seconds_sum{layer="h"} 5e-2\npipeline_layer_duration_seconds_count{layer="h"} 1\n# x\nother 3\n')
     from quernstone.operators import panels
 
     assert [tuple(r) for r in panels.latency_from_exposition(readers.read_exposition(spark, str(tmp_path / "m.txt"))).collect()] == [("h", 50.0)]
