@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.operators.skew import heavy_keys, left_join_unique
-from quernstone.session import spread
+from quernstone.session import cut_lineage, spread
 
 _SYMBOLS = "$+<=>^`|~"
 #: a mark counts as content only directly between two digits
@@ -150,14 +150,19 @@ def groups(records: DataFrame) -> DataFrame:
     ).select("fp", F.col("k.id").alias("keep_id"), F.col("k.fields").alias("keep_fields"), "n_copies")
 
 
-def copies(records: DataFrame) -> DataFrame:
+def copies(records: DataFrame, total: int | None = None) -> DataFrame:
     """(keep_id, copy_id): every record of a group of two or more but its keeper.
 
+    ``total`` is the number of records, where it is known without reading them.
+
     Null texts equal each other and empty texts; null labels equal empty labels;
     repeated rows with one id are one record.  Hot groups are joined by broadcast,
     see :mod:`quernstone.operators.skew`.
     """
-    multi = groups(records).where("n_copies > 1")
-    heavy = heavy_keys(multi.select("fp", "n_copies"), "fp", "n_copies", records.count())
-    met = left_join_unique(records, multi.drop("n_copies"), "fp", heavy, "inner")
-    return met.where((F.col("id") > F.col("keep_id")) & _same_fields()).select("keep_id", F.col("id").alias("copy_id"))
+    multi = records.groupBy("fp").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heavy = heavy_keys(multi, "fp", "n", records.count() if total is None else total)
+    # only members of groups go on; keepers' fields meet them in a second, much smaller join
+    members = cut_lineage(left_join_unique(records, multi.drop("n"), "fp", heavy, "inner"))
+    keepers = members.where("id = keep_id").select("fp", F.col("fields").alias("keep_fields")).dropDuplicates(["fp"])
+    met = left_join_unique(members, keepers, "fp", heavy, "inner")
+    return met.where((F.col("id") > F.col("keep_id")) & _same_fields()).select("keep_id", F.col("id").alias("copy_id")).distinct()

@@ -31,7 +31,8 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.copies(dedup.keyed(table(spark, d, "retrain_queue")))
+    queue = table(spark, d, "retrain_queue")
+    return dedup.copies(dedup.keyed(queue), queue.count())  # the count comes from the files' footers
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
