@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.session import spread
+from quernstone.session import cut_lineage, spread
 
 # Abbreviations by behaviour, lower case, without the last full stop.
 #: stand before a name or number; their full stop never ends a sentence
@@ -330,7 +330,7 @@ def corpus_abbreviations(docs: DataFrame, text_col: str = "text") -> frozenset:
     """Tokens of up to six letters whose full stop is followed by a lower-case word or
     a digit in at least nine of ten occurrences, counted over all documents.
 
-    The counting runs inside the JVM and reduces map-side; what comes back holds at
+    The counting runs once, inside the JVM, and reduces map-side; what comes back holds at
     most ``1 / EVIDENCE_SHARE`` tokens.
     """
     # token, what follows: l(ower case or digit) or u(pper case)
@@ -338,7 +338,7 @@ def corpus_abbreviations(docs: DataFrame, text_col: str = "text") -> frozenset:
         F.col(text_col), F.lit(r"(?<![\p{L}\p{N}])(\p{L}{1,6}\.[^\S\n]+[\p{Ll}\p{Lu}\p{N}])"), F.lit(1)
     )
     hits = docs.where(F.col(text_col).isNotNull()).select(F.explode(found).alias("h"))
-    counts = (
+    counts = cut_lineage(
         hits.groupBy("h")
         .count()
         .select(
