@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.operators.skew import heavy_keys, left_join_unique
-from quernstone.session import spread
+from quernstone.session import cut_lineage, spread
 
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = "аеорсухіїѕјһԁԛԝӏАВЕЗКМНОРСТУХІЇЅЈԚԜӀҮ"
@@ -101,6 +101,7 @@ def same_look(keyed: DataFrame) -> DataFrame:
     not paired with each other.  The variants of a form are paired first; members are
     then joined to their variants, so no group is held in one task.
     """
+    keyed = cut_lineage(keyed.select("table_name", "id", "form_key", "raw_key"))  # short rows, used more than once
     variants = keyed.groupBy("table_name", "form_key", "raw_key").agg(F.count(F.lit(1)).alias("n"))
     mixed = variants.groupBy("table_name", "form_key").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).where("v > 1")
     key = F.concat_ws(":", "table_name", "form_key")
