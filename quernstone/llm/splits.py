@@ -105,48 +105,54 @@ def canonical(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFram
     return spread(df.select(F.col(id_col), F.col(text_col), *keep)).mapInArrow(run, schema)
 
 
+def _short(cls: F.Column) -> F.Column:
+    """First 60 bits of a class hash: what piece rows carry.  Classes that share them are
+    told apart when the texts are verified."""
+    return F.conv(F.substring(cls, 1, 15), 16, 10).cast("bigint")
+
+
 def _piece_rows(classes: DataFrame, offer: bool) -> DataFrame:
+    """(c, piece, n): pieces of each class, ``n`` their number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = offered if offer else accepted
         for b in batches:
             ids, hs, ns = [], [], []
             for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 got = cut(t.split())
-                ids += [c] * len(got)
+                ids += [int(c[:15], 16)] * len(got)
                 hs += got
                 ns += [len(got)] * len(got)
-            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(hs, pa.int64()), pa.array(ns, pa.int32())], ["cls", "piece", "n"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(ns, pa.int32())], ["c", "piece", "n"])
 
-    return classes.select("cls", "canon").mapInArrow(run, "cls string, piece bigint, n int")
+    return classes.select("cls", "canon").mapInArrow(run, "c bigint, piece bigint, n int")
 
 
 def near_classes(val: DataFrame, train: DataFrame) -> DataFrame:
     """(val_cls, train_cls): different canonical texts that are near-same."""
-    train_pieces = _piece_rows(train, offer=False).select(F.col("cls").alias("train_cls"), "piece")
+    train_pieces = _piece_rows(train, offer=False).select(F.col("c").alias("tc"), "piece")
     df = train_pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("df"))
     present = (
         _piece_rows(val, offer=True)
         .join(df, "piece")
-        .groupBy("cls", "n")
+        .groupBy("c", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "piece"))).alias("p"))
     )
     shared = F.greatest(F.lit(1), F.ceil(F.col("n") * MIN_SHARED)).cast("int")
     meets = F.least(F.lit(MEETS), shared)
     take = F.size("p") - shared + meets
-    rare = present.where(take > 0).select(
-        F.col("cls").alias("val_cls"), meets.alias("meets"), F.explode(F.slice("p", F.lit(1), take)).alias("s")
-    )
+    rare = present.where(take > 0).select(F.col("c").alias("vc"), meets.alias("meets"), F.explode(F.slice("p", F.lit(1), take)).alias("s"))
     met = (
-        rare.select("val_cls", "meets", F.col("s.piece").alias("piece"))
+        rare.select("vc", "meets", F.col("s.piece").alias("piece"))
         .join(train_pieces, "piece")
-        .where(F.col("val_cls") != F.col("train_cls"))
-        .groupBy("val_cls", "train_cls", "meets")
+        .groupBy("vc", "tc", "meets")
         .count()
         .where(F.col("count") >= F.col("meets"))
-        .select("val_cls", "train_cls")
+        .select("vc", "tc")
     )
-    with_val = met.join(val.select(F.col("cls").alias("val_cls"), F.col("canon").alias("a")), "val_cls")
-    both = with_val.join(train.select(F.col("cls").alias("train_cls"), F.col("canon").alias("b")), "train_cls")
+    with_val = met.join(val.select(_short(F.col("cls")).alias("vc"), F.col("cls").alias("val_cls"), F.col("canon").alias("a")), "vc")
+    both = with_val.join(train.select(_short(F.col("cls")).alias("tc"), F.col("cls").alias("train_cls"), F.col("canon").alias("b")), "tc")
+    both = both.where("val_cls <> train_cls")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
