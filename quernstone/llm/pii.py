@@ -59,8 +59,6 @@ NAME_CUES = (
     "patient: ", "belongs to ", "name=", "name: ", "contact name: ", "меня зовут ", "подписывает ", "передайте это для ", "с уважением, ",
     "mein name ist ", "ich heiße ", "me llamo ", "mi nombre es ", "je m'appelle ", "mon nom est ",
 )
-# Words that follow a person's name.
-NAME_TAILS = ("signed the form", "and i still wait", "on the stairs", "about the lost", "before noon")
 # Words that introduce a telephone number.
 PHONE_CUES = (
     "call", "tel", "tel.", "tel:", "phone", "phone=", "phone:", "mobile", "fax", "ring me on", "answers at", "voice message from", "reach me on",
@@ -175,7 +173,7 @@ def _build_automaton():
         ("at", ("@", "[at]", "(at)", "{at}", "<at>", " at ", "[ at ]", "( at )", "(@)", "[@]")),
         ("phone", PHONE_CUES),
         ("id", ID_CUES),
-        ("name", NAME_CUES + NAME_TAILS),
+        ("name", NAME_CUES),
         ("title", tuple(t + ". " for t in TITLES) + tuple(t + " " for t in ("miss", "herr", "frau", "madame", "monsieur", "señor", "señora"))),
         ("street", tuple(" " + x for x in STREET_END) + STREET_END_DE + tuple(x + " " for x in STREET_START) + ("box ", "postfach ", "apartado ", "а/я", "am ", "zum ", "zur ")),
     ):
