@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -193,8 +194,9 @@ class Finder:
     def __init__(self) -> None:
         self.automaton = _build_automaton()
 
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, end, type) of the items in plain ``text``, sorted, not overlapping."""
+    def spans(self, text: str, hints: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
+        """(start, end, type) of the items in plain ``text``, sorted, not overlapping.
+        ``hints`` are the cues that stand before the text."""
         low = text.lower()
         if len(low) != len(text):  # letters whose lower case is longer: keep positions
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
@@ -202,6 +204,8 @@ class Finder:
         for end, kinds in self.automaton.iter(low):
             for k in kinds:
                 anchors.setdefault(k, []).append((end + 1, end))
+        for k in hints:
+            anchors.setdefault(k, []).append((0, -1))
         found: list[tuple[int, int, str]] = []
         if "at" in anchors:
             self._emails(text, found)
@@ -323,10 +327,17 @@ def replace(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 # ------------------------------------------------------------------- structure
-_STRING = re.compile(r'"((?:[^"\\]|\\.)*)("|$)', re.S)
+#: (start, end, type, what stands in its place)
+Span = tuple[int, int, str, str]
+
+_STRING = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)(?:"|\\?\Z)', re.S)
+_TOKEN = re.compile(r'[ \t\r\n]*(?:("[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z))|([{}\[\],:])|([-+.\w]+))', re.S)
+_NUMBER = re.compile(r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?")
 _ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{0,3})?$")
-_DATA_LINE = re.compile(r"^data:\s?(\{.*)$", re.M)
+_UNIT = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|[^\\]", re.S)
 _DELTA = re.compile(r'"(?:content|text)"\s*:\s*"((?:[^"\\]|\\.)*)"', re.S)
+_KEY_WORD = re.compile(r"[A-Z]+(?![a-z])|[^\W_][^\W_A-Z]*")
+_KEY_TAIL = frozenset("no nr num number numbers nummer id номер value".split())
 
 
 def _decode(body: str) -> str | None:
@@ -342,73 +353,187 @@ def _decode(body: str) -> str | None:
             return None
 
 
+def _raw_at(body: str, plain: str) -> list[int] | range:
+    """Where each character of ``plain`` begins in ``body``, and where the last one ends."""
+    if len(body) == len(plain):
+        return range(len(body) + 1)
+    at, pos = [], 0
+    for m in _UNIT.finditer(body):
+        if len(at) == len(plain):
+            break
+        at.append(m.start())
+        pos = m.end()
+    at.append(pos)
+    return at
+
+
+#: Keys that announce a kind of item.  Verbs are no keys: what follows them (``tool_call``) is no number.
+_KEY_CUES = {
+    " ".join(_KEY_WORD.findall(c)).lower(): kind
+    for kind, cues in (
+        ("phone", (*PHONE_CUES, "phones", "telephone", "cell")),
+        ("id", (*ID_CUES, "passports")),
+        ("name", ("name", "patient", "patient name", "full name", "contact name", "customer name")),
+    )
+    for c in cues
+    if c not in ("call", "sms", "ring me on", "answers at", "voice message from", "reach me on", "rückruf unter", "звоните", "llame al", "appelez le")
+}
+
+
+@lru_cache(4096)
+def _hints(key: str) -> frozenset[str]:
+    """Kinds of item that a key announces: it ends in a cue, or in a cue and a word such as ``number``."""
+    words = [w.lower() for w in _KEY_WORD.findall(key[:80])]
+    while len(words) > 1 and words[-1] in _KEY_TAIL and " ".join(words[-2:]) not in _KEY_CUES:
+        words.pop()
+    return frozenset(_KEY_CUES[c] for c in (" ".join(words[-k:]) for k in range(1, 5)) if c in _KEY_CUES)
+
+
+def _leaves(text: str) -> tuple[list[tuple[int, int, str, str]], bool] | None:
+    """((start, end, "s" string | "k" key | "n" number, key) of what ``text`` holds, whether the value is
+    complete) if it is JSON or the beginning of it, else None.  Elements of arrays have the array's key."""
+    out: list[tuple[int, int, str, str]] = []
+    stack: list[tuple[str, str]] = []  # (bracket, key of the container)
+    want, key, pos, n = "v", "", 0, len(text)
+    match = _TOKEN.match
+    while pos < n:
+        m = match(text, pos)
+        if m is None:
+            return None if text[pos:].strip(" \t\r\n") else (out, want == "e")
+        pos = m.end()
+        s, p, w = m.groups()
+        if s is not None:
+            a, b = m.span(1)
+            b -= _closed(s)
+            if want in "vV":
+                out.append((a + 1, b, "s", key))
+                want = "," if stack else "e"
+            elif want in "kK":
+                out.append((a + 1, b, "k", ""))
+                key, want = text[a + 1 : b], ":"
+            else:
+                return None
+        elif p is not None:
+            if p in "{[" and want in "vV":
+                stack.append((p, key))
+                want = "K" if p == "{" else "V"
+            elif p in "}]" and stack and stack[-1][0] == ("{" if p == "}" else "[") and want in (",K" if p == "}" else ",V"):
+                key = stack.pop()[1]
+                want = "," if stack else "e"
+            elif p == "," and want == "," and stack:
+                want = "k" if stack[-1][0] == "{" else "v"
+                if want == "v":
+                    key = stack[-1][1]
+            elif p == ":" and want == ":":
+                want = "v"
+            else:
+                return None
+        else:
+            if want not in "vV":
+                return None
+            if _NUMBER.fullmatch(w):
+                out.append((m.start(3), pos, "n", key))
+            elif w not in ("true", "false", "null", "NaN", "Infinity", "-Infinity") and not (
+                pos == n and (any(x.startswith(w) for x in ("true", "false", "null")) or re.fullmatch(r"-|-?\d+(?:\.|\.?\d*[eE][-+]?)", w))
+            ):
+                return None
+            want = "," if stack else "e"
+    return out, want == "e"
+
+
+def _closed(literal: str) -> bool:
+    """The literal ends in a quote that is not escaped."""
+    body = literal[1:-1]
+    return len(literal) > 1 and literal[-1] == '"' and (len(body) - len(body.rstrip("\\"))) % 2 == 0
+
+
 class Redactor:
     """Finds and replaces items in plain text, JSON of any nesting, cut JSON and event streams."""
 
     def __init__(self) -> None:
         self.finder = Finder()
 
-    def run(self, text: str | None, depth: int = 0) -> tuple[str | None, set[str]]:
+    def run(self, text: str | None) -> tuple[str | None, set[str]]:
         """(text with placeholders, types found).  Null and empty texts come back as they are."""
         if not text:
             return text, set()
-        head = text.lstrip()[:1]
-        if head and head in '{["' and depth < 6 and '"' in text:
-            return self._json(text, depth)
-        if text.startswith("data:") and depth == 0:
-            return self._stream(text)
-        spans = self.finder.spans(text)
+        spans = self.spans(text)
         if not spans:
             return text, set()
-        return replace(text, spans), {t for _, _, t in spans}
-
-    def _json(self, text: str, depth: int) -> tuple[str, set[str]]:
-        types: set[str] = set()
         out, pos = [], 0
-        ascii_only = text.isascii()
-        for m in _STRING.finditer(text):
-            body = m.group(1)
-            if len(body) < 5:
-                continue
-            plain = _decode(body)
-            if plain is None:
-                continue
-            new, t = self.run(plain, depth + 1)
-            if t:
-                types |= t
-                out += (text[pos : m.start(1)], json.dumps(new, ensure_ascii=ascii_only)[1:-1])
-                pos = m.end(1)
-        if not types:
-            return text, types
+        for a, b, _, put in spans:
+            out += (text[pos:a], put)
+            pos = b
         out.append(text[pos:])
-        return "".join(out), types
+        return "".join(out), {t for _, _, t, _ in spans}
 
-    def _stream(self, text: str) -> tuple[str, set[str]]:
-        """Items may run across events: the deltas are joined, redacted and put back,
+    def spans(self, text: str, depth: int = 0, hints: frozenset[str] = frozenset()) -> list[Span]:
+        """Items of a text of any form, sorted, not overlapping."""
+        head = text.lstrip()[:1]
+        if head and head in '{["' and depth < 6 and '"' in text:
+            got = _leaves(text)
+            return self._mixed(text, depth, hints) if got is None else self._json(text, got[0], depth, hints)
+        if text.startswith("data:") and depth == 0:
+            return self._stream(text)
+        return self._plain(text, hints)
+
+    def _plain(self, text: str, hints: frozenset[str] = frozenset()) -> list[Span]:
+        return [(a, b, t, PLACEHOLDER[t]) for a, b, t in self.finder.spans(text, hints)]
+
+    def _literal(self, text: str, a: int, b: int, depth: int, hints: frozenset[str]) -> list[Span]:
+        """Items of the string whose body is text[a:b]; one that cannot be decoded is read as it stands."""
+        body = text[a:b]
+        plain = _decode(body)
+        if plain is None:
+            return [(a + s, a + e, t, json.dumps(put)[1:-1]) for s, e, t, put in self._plain(body, hints)]
+        got = self.spans(plain, depth + 1, hints)
+        if not got:
+            return got
+        at = _raw_at(body, plain)
+        return [(a + at[s], a + at[e], t, json.dumps(put, ensure_ascii=False)[1:-1]) for s, e, t, put in got]
+
+    def _json(self, text: str, leaves, depth: int, hints: frozenset[str] = frozenset()) -> list[Span]:
+        """``hints`` hold for a text that is one string."""
+        out: list[Span] = []
+        for a, b, kind, key in leaves:
+            if b - a < 5:
+                continue
+            own = _hints(key) if key else hints
+            if kind != "n":
+                out += self._literal(text, a, b, depth, own)
+            elif own and text[a:b].isdigit():
+                out += [(a, b, t, json.dumps(put)) for s, e, t, put in self._plain(text[a:b], own) if e - s == b - a]
+        return out
+
+    def _mixed(self, text: str, depth: int, hints: frozenset[str]) -> list[Span]:
+        """Text that begins like JSON but is none: plain text, in which quoted strings may hold escapes."""
+        out: list[Span] = []
+        if "\\" in text:
+            for m in _STRING.finditer(text):
+                if "\\" in m.group(1):
+                    out += self._literal(text, m.start(1), m.end(1), depth, frozenset())
+        out += [x for x in self._plain(text, hints) if not any(s < x[1] and x[0] < e for s, e, _, _ in out)]
+        return sorted(out)
+
+    def _stream(self, text: str) -> list[Span]:
+        """Items may run across events: the deltas are joined, and what is found is put back,
         an item's placeholder into the event in which the item begins."""
-        parts = [(m.start(1), m.end(1), _decode(m.group(1))) for m in _DELTA.finditer(text)]
-        parts = [(a, b, p) for a, b, p in parts if p is not None]
-        whole = "".join(p for _, _, p in parts)
-        spans = self.finder.spans(whole)
-        if not spans:
-            return text, set()
-        ascii_only = text.isascii()
-        out, pos, at = [], 0, 0
-        for a, b, p in parts:
-            piece, q = [], at
-            for s, e, t in spans:
-                if e <= at or s >= at + len(p):
-                    continue
-                piece.append(whole[q : max(q, s)])
-                if s >= at:
-                    piece.append(PLACEHOLDER[t])
-                q = min(e, at + len(p))
-            piece.append(whole[q : at + len(p)])
+        parts = [(m.start(1), m.group(1), _decode(m.group(1))) for m in _DELTA.finditer(text)]
+        return self._joined([(a, body, p) for a, body, p in parts if p is not None], 0)
+
+    def _joined(self, parts: list[tuple[int, str, str]], depth: int) -> list[Span]:
+        """Items of the text that (start, body, decoded) of ``parts`` make up together."""
+        found = self.spans("".join(p for _, _, p in parts), depth + 1)
+        out: list[Span] = []
+        at = 0
+        for a, body, p in parts if found else ():
+            raw = None
+            for s, e, t, put in found:
+                if e > at and s < at + len(p):
+                    raw = raw or _raw_at(body, p)
+                    out.append((a + raw[max(s - at, 0)], a + raw[min(e - at, len(p))], t, json.dumps(put, ensure_ascii=False)[1:-1] if s >= at else ""))
             at += len(p)
-            out += (text[pos:a], json.dumps("".join(piece), ensure_ascii=ascii_only)[1:-1])
-            pos = b
-        out.append(text[pos:])
-        return "".join(out), {t for _, _, t in spans}
+        return out
 
 
 def redact(df: DataFrame, id_col: str, fields: list[str], table_name: str) -> DataFrame:

@@ -52,6 +52,26 @@ def test_pii_structure_keeps_the_rest():
     assert found == {"email"} and "[EMAIL]" in out and "now" in out and "moor" not in out
 
 
+def test_pii_text_that_only_begins_like_json():
+    run = pii.Redactor().run
+    assert run('[ticket 4] user "qq" wrote from a.b@example.org') == ('[ticket 4] user "qq" wrote from [EMAIL]', {"email"})
+    assert run('"Thanks," wrote Anna Weber, a.b@example.org')[1] == {"email", "person_name"}
+    assert run('{"a": "x"} and then a.b@example.org')[1] == {"email"}
+    assert run('{"a": "x\\u0040y.com", oops a.b@example.org') == ('{"a": "[EMAIL]", oops [EMAIL]', {"email"})
+    assert run(json.dumps({"note": '[4] "qq" wrote from a.b@example.org'}))[1] == {"email"}
+    for cut in ('{"a": "see a.b@example.org', '["see a.b@example.org\\', '{"a": ["see a.b@example.org", tru', '"see a.b@example.org \\"'):
+        assert run(cut)[0] == cut.replace("a.b@example.org", "[EMAIL]"), cut
+
+
+def test_pii_keys_are_cues():
+    run = pii.Redactor().run
+    assert run('{"phone": 15550100123}') == ('{"phone": "[PHONE]"}', {"phone"})
+    assert run(json.dumps({"a": json.dumps({"mobileNumber": 15550100123})})) == (json.dumps({"a": json.dumps({"mobileNumber": "[PHONE]"})}), {"phone"})
+    assert run('{"ssn": "666 74 5946", "phones": ["5550100123"], "passport_no": 449771000}')[1] == {"id_number", "phone"}
+    for text in ('{"tool_call": 15550100123, "inner": 449771000, "created": 1710000000, "n": [1234567890]}', '{"name": "Search Tool", "phone": null}', '{"phone": 1234567.25}'):
+        assert run(text) == (text, set()), text
+
+
 def test_pii_frame(spark):
     df = spark.createDataFrame(
         [("a", "mail p.moor@example.net", None, "x"), ("a", "mail p.moor@example.net", None, "x"), ("b", None, "", "y"), (None, "x" * 200_000, "Ask Ms. Hallbeck", "z"), ("c", "no", "no", None)],
