@@ -60,6 +60,11 @@ NAME_CUES = (
     "patient: ", "belongs to ", "name=", "name: ", "contact name: ", "меня зовут ", "подписывает ", "передайте это для ", "с уважением, ",
     "mein name ist ", "ich heiße ", "me llamo ", "mi nombre es ", "je m'appelle ", "mon nom est ",
 )
+# Those after which any two capitalised words are a name; after the others one part must be a listed given name.
+STRONG_NAME_CUES = (
+    "my name is ", "patient=", "patient: ", "patient name: ", "contact name: ", "full name: ", "customer name: ", "signed by ", "spoke with ",
+    "меня зовут ", "подписывает ", "передайте это для ", "mein name ist ", "ich heiße ", "me llamo ", "mi nombre es ", "je m'appelle ", "mon nom est ",
+)
 # Words that introduce a telephone number.
 PHONE_CUES = (
     "call", "tel", "tel.", "tel:", "phone", "phone=", "phone:", "mobile", "fax", "ring me on", "answers at", "voice message from", "reach me on",
@@ -165,6 +170,11 @@ _AFTER_GIVEN = re.compile(r"(?:\s+[A-ZА-Я]\.)?\s+(" + _NAME_CHARS + r")(?!\w)"
 _DIGIT_RUN = re.compile(r"[+(]?\d[\d ().\-/]{5,}")
 _NOT_SURNAMES = frozenset("the and or of for to in on at by is was were with from this that a an if when nobody each please which could und der die das y el la et le les".split())
 
+_NOT_NAMES = _NOT_SURNAMES | frozenset(
+    """support team desk office department service services sales billing security admin administrator staff group company committee please thanks
+    hello not unknown none null true false project room street road case ticket monday tuesday wednesday thursday friday saturday sunday""".split()
+)
+
 
 def _build_automaton():
     import ahocorasick
@@ -175,6 +185,7 @@ def _build_automaton():
         ("phone", PHONE_CUES),
         ("id", ID_CUES),
         ("name", NAME_CUES),
+        ("strong", STRONG_NAME_CUES),
         ("title", tuple(t + ". " for t in TITLES) + tuple(t + " " for t in ("miss", "herr", "frau", "madame", "monsieur", "señor", "señora"))),
         ("street", tuple(" " + x for x in STREET_END) + STREET_END_DE + tuple(x + " " for x in STREET_START) + ("box ", "postfach ", "apartado ", "а/я", "am ", "zum ", "zur ")),
     ):
@@ -275,10 +286,10 @@ class Finder:
         if "title" in anchors:
             for m in _TITLE.finditer(text):
                 add(m.start(), m.end())
-        if "name" in anchors:
-            for after, _ in anchors["name"]:
+        for kind in ("strong", "name"):
+            for after, end in anchors.get(kind, ()):
                 m = _NAME_AFTER.match(text, after)
-                if m and self._name_like(m):
+                if m and self._name_like(m, kind == "strong" and not _capitals(text, end)):
                     add(m.start(), m.end())
         for m in _CAP_WORD.finditer(text):
             if m.group().lower() in GIVEN:
@@ -292,23 +303,39 @@ class Finder:
                         add(b.start(1), m.end())
 
     @staticmethod
-    def _name_like(m: re.Match) -> bool:
+    def _name_like(m: re.Match, strong: bool) -> bool:
         parts = [p for p in _WORD.findall(m.group()) if len(p) > 1]
-        return m.group("title") is not None or any(p.lower() in GIVEN for p in parts)
+        if m.group("title") is not None or any(p.lower() in GIVEN for p in parts):
+            return True
+        return strong and not any(p.lower() in _NOT_NAMES for p in parts)
 
 
 _PREVIOUS = re.compile(r"([^\W\d_]+)['’]?[ \t]+$")
 _FOLLOWING = re.compile(r"[ \t]+([^\W\d_]+)")
 
 
+def _capitals(text: str, end: int) -> bool:
+    """The cue that ends at ``end`` stands in capitals, where a capital letter says nothing."""
+    cue = text[max(0, end - 7) : end + 1]
+    return cue.isupper() and sum(map(str.isalpha, cue)) > 2
+
+
 def _running_text(text: str, a: int, b: int, taken: list) -> bool:
-    """The words around are not capitalised: in title case or capitals a capital letter
-    says nothing.  A word of an item already found does not count."""
+    """Not within a line in title case or capitals, where a capital letter says nothing: a
+    word around is not capitalised, or another word of the line is not (half of them, if the
+    name is in capitals).  A word of an item already found does not count, nor do small words."""
     p = _PREVIOUS.search(text, max(0, a - 30), a)
-    if p and p.group(1)[0].isupper() and not _overlaps(taken, p.start(1), p.end(1)):
-        return False
     f = _FOLLOWING.match(text, b)
-    return not (f and f.group(1)[0].isupper())
+    if not (p and p.group(1)[0].isupper() and not _overlaps(taken, p.start(1), p.end(1)) or f and f.group(1)[0].isupper()):
+        return True
+    start, stop = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+    capitals, words, plain = text[a:b].isupper(), 0, 0
+    for m in _WORD.finditer(text, start, len(text) if stop < 0 else stop):
+        w = m.group()
+        if not a <= m.start() < b and w not in _NOT_SURNAMES and not _overlaps(taken, *m.span()):
+            words += 1
+            plain += w.islower()
+    return 2 * plain >= words if capitals else plain > 0
 
 
 _CAP_WORD = re.compile(r"(?<![\w@.+-])[A-ZА-ЯЁ][^\W\d_]{1,14}(?![\w@])")
@@ -373,7 +400,8 @@ _KEY_CUES = {
     for kind, cues in (
         ("phone", (*PHONE_CUES, "phones", "telephone", "cell")),
         ("id", (*ID_CUES, "passports")),
-        ("name", ("name", "patient", "patient name", "full name", "contact name", "customer name")),
+        ("name", ("name",)),
+        ("strong", ("patient", "patient name", "full name", "contact name", "customer name")),
     )
     for c in cues
     if c not in ("call", "sms", "ring me on", "answers at", "voice message from", "reach me on", "rückruf unter", "звоните", "llame al", "appelez le")

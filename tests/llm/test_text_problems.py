@@ -72,6 +72,16 @@ def test_pii_keys_are_cues():
         assert run(text) == (text, set()), text
 
 
+def test_pii_names_beyond_the_list():
+    for text in (
+        "My name is Zubeda Okonwe and", "patient=Thandiwe Mbeki, ward 4", "Меня зовут Гульнара Ахметова", "mein Name ist Xaver Huber.", "Patient: Mbeki, Thandiwe",
+        '{"patient": "Zubeda Okonwe"}', "Contact Emma Clark today", "Der Kunde Anna Weber wartet", "Die Akte von Frieda hat Kundin Anna Weber Montag gelesen",
+    ):
+        assert types(text) == {"person_name"}, (text, types(text))
+    for text in ("The Return of Emma Clark Begins", "eL RECIBO EL\nMARCO BREVE SOBRE EL VÍNCULO. qUÉ ops-5", "MY NAME IS RED HARBOR", "signed by Support Team", "Ask Silver Heron about it", '{"name": "Search Tool"}', "my name is Legion", "spoke with Night Desk staff"):
+        assert types(text) == set(), (text, types(text))
+
+
 def test_pii_frame(spark):
     df = spark.createDataFrame(
         [("a", "mail p.moor@example.net", None, "x"), ("a", "mail p.moor@example.net", None, "x"), ("b", None, "", "y"), (None, "x" * 200_000, "Ask Ms. Hallbeck", "z"), ("c", "no", "no", None)],
