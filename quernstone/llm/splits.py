@@ -3,9 +3,9 @@
 Records are canonicalised (letter case, punctuation, white space and look-alike
 characters taken out) and hashed; evaluation hashes are joined with training
 hashes, which finds exact overlaps.  Texts that are not equal are met through
-hashes of their word pieces: an evaluation text offers its rarest pieces, ordered
-by their frequency in training, as many as ensure that a text sharing
-``MIN_SHARED`` of its pieces meets it ``MEETS`` times.  The bit-parallel longest
+hashes of their neighbouring words: texts of n and m words with a common sequence of
+L words have at least 3 L - 1 - n - m pairs of neighbours in common, as each word left
+out breaks one pair at most, so counting them loses nothing.  The bit-parallel longest
 common word sequence decides.
 
 Exact copies are one class; classes are matched, records joined to their classes.
@@ -16,7 +16,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,10 +29,10 @@ from quernstone.session import cut_lineage, spread
 
 #: share of words kept in common and in order
 KEPT = 0.75
-#: words per piece, by the number of words in the evaluation text
-PIECE, PIECE_SHORT, SHORT, TINY = 4, 2, 16, 8
-MIN_SHARED = 0.15
-MEETS = 3
+#: words of evaluation texts up to which they are held by every worker; beyond, pieces are joined
+WORDS_HELD = 2_000_000
+#: pieces a joined pair must meet in
+MEETS = 2
 
 _FOLD = str.maketrans(lookalike._FROM, lookalike._TO)
 _INVISIBLE = re.compile("[" + re.sub(r"\\x\{([0-9A-F]{4})\}", lambda m: "\\u" + m.group(1), lookalike.INVISIBLE[1:-1]) + "]")
@@ -65,30 +67,20 @@ def near(a: list[str], b: list[str]) -> bool:
     return min(len(a), len(b)) >= need and lcs(a, b) >= need
 
 
-def _h(words: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
-
-
-def pieces(words: list[str], k: int) -> set[int]:
-    """Hashes of the k-word pieces; different k never meet."""
-    return {_h([str(k), *words[i : i + k]]) for i in range(len(words) - k + 1)}
-
-
-def offered(words: list[str]) -> set[int]:
-    """Pieces of an evaluation text."""
-    n = len(words)
-    return pieces(words, PIECE if n >= SHORT else PIECE_SHORT if n >= TINY else 1)
+def pieces(words: list[str]) -> list[int]:
+    """Hashes of the neighbouring words, repeated ones numbered.  Two texts of four words may
+    keep three in order and no neighbours, so texts of four words offer their words too."""
+    seen: dict[str, int] = {}
+    out = []
+    for p in [f"{x} {y}" for x, y in pairwise(words)] + (words if len(words) == 4 else []):
+        k = seen[p] = seen.get(p, 0) + 1
+        out.append(xxhash.xxh3_64_intdigest(p if k == 1 else f"{p} {k}") - (1 << 63))
+    return out
 
 
-def accepted(words: list[str]) -> set[int]:
-    """Pieces of a training text: all sizes that an evaluation text of near length may offer."""
-    n = len(words)
-    out = pieces(words, PIECE) if n * KEPT <= n and n >= KEPT * SHORT else set()
-    if KEPT * n < SHORT:
-        out |= pieces(words, PIECE_SHORT)
-    if KEPT * n < TINY:
-        out |= pieces(words, 1)
-    return out
+def least_common(n: int, m: int) -> int:
+    """Pieces that near-same texts of n and m words have in common at least."""
+    return 3 if n == m == 4 else max(1, 3 * -(-3 * max(n, m) // 4) - 1 - n - m)
 
 
 def canonical(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
@@ -111,18 +103,18 @@ def _short(cls: F.Column) -> F.Column:
     return F.conv(F.substring(cls, 1, 15), 16, 10).cast("bigint")
 
 
-def _piece_rows(classes: DataFrame, offer: bool) -> DataFrame:
-    """(c, piece, n): pieces of each class, ``n`` their number."""
+def _piece_rows(classes: DataFrame) -> DataFrame:
+    """(c, piece, n): pieces of each class, ``n`` its number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = offered if offer else accepted
         for b in batches:
             ids, hs, ns = [], [], []
             for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = cut(t.split())
+                w = t.split()
+                got = pieces(w)
                 ids += [int(c[:15], 16)] * len(got)
                 hs += got
-                ns += [len(got)] * len(got)
+                ns += [len(w)] * len(got)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(ns, pa.int32())], ["c", "piece", "n"])
 
     return classes.select("cls", "canon").mapInArrow(run, "c bigint, piece bigint, n int")
@@ -130,24 +122,73 @@ def _piece_rows(classes: DataFrame, offer: bool) -> DataFrame:
 
 def near_classes(val: DataFrame, train: DataFrame) -> DataFrame:
     """(val_cls, train_cls): different canonical texts that are near-same."""
-    train_pieces = _piece_rows(train, offer=False).select(F.col("c").alias("tc"), "piece")
+    words = val.agg(F.sum(F.size(F.split("canon", " ")))).first()[0] or 0
+    return _near_held(val, train) if words <= WORDS_HELD else _near_joined(val, train)
+
+
+def _near_held(val: DataFrame, train: DataFrame) -> DataFrame:
+    """Every worker holds the evaluation texts and the lists of those that have a piece."""
+    rows = val.select("cls", "canon").collect()
+    classes, texts = [r.cls for r in rows], [r.canon for r in rows]
+    got = [pieces(t.split()) for t in texts]
+    hashes = np.array([h for g in got for h in g], np.int64)
+    order = np.argsort(hashes, kind="stable")
+    of = np.repeat(np.arange(len(got)), [len(g) for g in got])[order]
+    keys, starts = np.unique(hashes[order], return_index=True)
+    ends = np.append(starts[1:], len(of))
+    held = val.sparkSession.sparkContext.broadcast((classes, texts, keys, starts, ends, of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, texts, keys, starts, ends, of = held.value
+        split = [t.split() for t in texts]
+        size = np.array([len(w) for w in split], np.int64)
+        needs: dict[int, np.ndarray] = {}
+        for b in batches:
+            left, right = [], []
+            for cls, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = text.split()
+                m = len(w)
+                h = np.array(pieces(w), np.int64)
+                if not len(keys) or not len(h):
+                    continue
+                if m not in needs:
+                    if len(needs) > 500:
+                        needs.clear()
+                    far = np.minimum(size, m) * 4 < np.maximum(size, m) * 3
+                    needs[m] = np.where(far, m + 10, np.where((size == 4) & (m == 4), 3, np.maximum(1, 3 * -(-3 * np.maximum(size, m) // 4) - 1 - size - m)))
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                at = at[keys[at] == h]
+                if not len(at):
+                    continue
+                met = np.bincount(np.concatenate([of[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist())]), minlength=len(size))
+                for v in np.flatnonzero(met >= needs[m]).tolist():
+                    if classes[v] != cls and near(split[v], w):
+                        left.append(classes[v])
+                        right.append(cls)
+            yield pa.record_batch([pa.array(left, pa.string()), pa.array(right, pa.string())], ["val_cls", "train_cls"])
+
+    return spread(train.select("cls", "canon")).mapInArrow(run, "val_cls string, train_cls string")
+
+
+def _near_joined(val: DataFrame, train: DataFrame) -> DataFrame:
+    """The same rows by a join of pieces: an evaluation text offers its rarest pieces (by their
+    frequency in training), as many as ensure that a near-same text meets it ``MEETS`` times."""
+    train_pieces = _piece_rows(train).select(F.col("c").alias("tc"), "piece", F.col("n").alias("m"))
     df = train_pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("df"))
-    present = (
-        _piece_rows(val, offer=True)
-        .join(df, "piece")
-        .groupBy("c", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "piece"))).alias("p"))
-    )
-    shared = F.greatest(F.lit(1), F.ceil(F.col("n") * MIN_SHARED)).cast("int")
-    meets = F.least(F.lit(MEETS), shared)
-    take = F.size("p") - shared + meets
-    rare = present.where(take > 0).select(F.col("c").alias("vc"), meets.alias("meets"), F.explode(F.slice("p", F.lit(1), take)).alias("s"))
+    present = _piece_rows(val).join(df, "piece").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "piece"))).alias("p"))
+    # the least of least_common(n, m) over all m: at m = n, but for n = 4 at m = 3
+    least = F.expr("if(n = 4, 1, greatest(1, 3 * ((3 * n + 3) div 4) - 1 - 2 * n))").cast("int")
+    meets = F.least(F.lit(MEETS), least)
+    take = F.size("p") - least + meets
+    rare = present.where(take > 0).select(F.col("c").alias("vc"), "n", (least - meets).alias("kept"), F.explode(F.slice("p", F.lit(1), take)).alias("s"))
+    need = F.expr("if(n = 4 and m = 4, 3, greatest(1, 3 * ((3 * greatest(n, m) + 3) div 4) - 1 - n - m)) - kept")
     met = (
-        rare.select("vc", "meets", F.col("s.piece").alias("piece"))
+        rare.select("vc", "n", "kept", F.col("s.piece").alias("piece"))
         .join(train_pieces, "piece")
-        .groupBy("vc", "tc", "meets")
+        .where("4 * least(n, m) >= 3 * greatest(n, m)")
+        .groupBy("vc", "tc", "n", "m", "kept")
         .count()
-        .where(F.col("count") >= F.col("meets"))
+        .where(F.col("count") >= need)
         .select("vc", "tc")
     )
     with_val = met.join(val.select(_short(F.col("cls")).alias("vc"), F.col("cls").alias("val_cls"), F.col("canon").alias("a")), "vc")

@@ -65,6 +65,34 @@ def test_lcs():
     assert splits.lcs("a b c d".split(), "a x c d".split()) == 3 and splits.lcs([], ["a"]) == 0 and splits.near("a b c d".split(), "a b c".split())
 
 
+def test_splits_meet_every_near_pair(spark):
+    """Words changed at every fourth place or at random, of any length: both routes give what all pairs give."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        n = rng.choice((1, 2, 3, 4, 5, 7, 8, 12, 16, 20, 24, 40, 60))
+        w = [rng.choice(VOCAB) + str(rng.randrange(3)) for _ in range(n)]
+        x = [f"c{k}" if k % 4 == 3 else v for k, v in enumerate(w)]
+        y = list(w)
+        for k in rng.sample(range(n), n // 4):
+            y[k] = f"d{k}"
+        z = [v for k, v in enumerate(w) if k % 8 != 3]
+        z.insert(len(z) // 2, "extra")
+        rows += [(f"v{i}", " ".join(w), "val", "s")] + [(f"t{i}{a}", " ".join(t), "train", "s") for a, t in (("x", x), ("y", y), ("z", z))]
+    df = spark.createDataFrame(rows, "example_id string, text string, split_name string, source string")
+    val, train = ([(i, splits.canonical_words(t)) for i, t, s, _ in rows if s == k] for k in ("val", "train"))
+    want = {(a, b) for a, v in val for b, t in train if splits.near(v, t)}
+    assert {tuple(r) for r in splits.overlaps(df).select("val_id", "train_id").collect()} == want and len(want) > 300
+    for a, v in val:
+        for b, t in train:
+            if splits.near(v, t) and v != t:
+                assert len(set(splits.pieces(v)) & set(splits.pieces(t))) >= splits.least_common(len(v), len(t)), (v, t)
+    cls = splits.canonical(df, "example_id", "text", "split_name").dropDuplicates(["cls", "split_name"])
+    v, t = (cls.where(F.col("split_name") == k) for k in ("val", "train"))
+    held, joined = ({tuple(r) for r in f(v, t).collect()} for f in (splits._near_held, splits._near_joined))
+    assert held == joined and len(held) > 200
+
+
 # ------------------------------------------------------------------ problem 8
 def test_leaks_against_brute_force(spark):
     rng = random.Random(9)
