@@ -362,7 +362,8 @@ _TOKEN = re.compile(r'[ \t\r\n]*(?:("[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z))|([{}\[\]
 _NUMBER = re.compile(r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?")
 _ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{0,3})?$")
 _UNIT = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|[^\\]", re.S)
-_DELTA = re.compile(r'"(?:content|text)"\s*:\s*"((?:[^"\\]|\\.)*)"', re.S)
+_DATA_LINE = re.compile(r"^[ \t\ufeff]*data:", re.M)
+_DELTA_KEYS = frozenset("content text arguments partial_json".split())
 _KEY_WORD = re.compile(r"[A-Z]+(?![a-z])|[^\W_][^\W_A-Z]*")
 _KEY_TAIL = frozenset("no nr num number numbers nummer id номер value".split())
 
@@ -417,11 +418,14 @@ def _hints(key: str) -> frozenset[str]:
     return frozenset(_KEY_CUES[c] for c in (" ".join(words[-k:]) for k in range(1, 5)) if c in _KEY_CUES)
 
 
-def _leaves(text: str) -> tuple[list[tuple[int, int, str, str]], bool] | None:
+def _leaves(text: str, paths: list | None = None) -> tuple[list[tuple[int, int, str, str]], bool] | None:
     """((start, end, "s" string | "k" key | "n" number, key) of what ``text`` holds, whether the value is
-    complete) if it is JSON or the beginning of it, else None.  Elements of arrays have the array's key."""
+    complete) if it is JSON or the beginning of it, else None.  Elements of arrays have the array's key.
+    ``paths`` receives the way to each leaf: for every container around it [its place in its array, or its
+    ``index`` if it has one], and the keys."""
     out: list[tuple[int, int, str, str]] = []
     stack: list[tuple[str, str]] = []  # (bracket, key of the container)
+    labels: list[list] = []  # of the containers around
     want, key, pos, n = "v", "", 0, len(text)
     match = _TOKEN.match
     while pos < n:
@@ -435,23 +439,31 @@ def _leaves(text: str) -> tuple[list[tuple[int, int, str, str]], bool] | None:
             b -= _closed(s)
             if want in "vV":
                 out.append((a + 1, b, "s", key))
+                if paths is not None:
+                    paths.append((*((x, k) for x, (_, k) in zip(labels, stack)), key))
                 want = "," if stack else "e"
             elif want in "kK":
                 out.append((a + 1, b, "k", ""))
+                if paths is not None:
+                    paths.append(None)
                 key, want = text[a + 1 : b], ":"
             else:
                 return None
         elif p is not None:
             if p in "{[" and want in "vV":
+                place = labels[-1][1] if stack and stack[-1][0] == "[" else 0
                 stack.append((p, key))
+                labels.append([str(place), 0])
                 want = "K" if p == "{" else "V"
             elif p in "}]" and stack and stack[-1][0] == ("{" if p == "}" else "[") and want in (",K" if p == "}" else ",V"):
                 key = stack.pop()[1]
+                labels.pop()
                 want = "," if stack else "e"
             elif p == "," and want == "," and stack:
                 want = "k" if stack[-1][0] == "{" else "v"
                 if want == "v":
                     key = stack[-1][1]
+                    labels[-1][1] += 1
             elif p == ":" and want == ":":
                 want = "v"
             else:
@@ -461,6 +473,10 @@ def _leaves(text: str) -> tuple[list[tuple[int, int, str, str]], bool] | None:
                 return None
             if _NUMBER.fullmatch(w):
                 out.append((m.start(3), pos, "n", key))
+                if paths is not None:
+                    paths.append(None)
+                    if key == "index" and stack and stack[-1][0] == "{":
+                        labels[-1][0] = w
             elif w not in ("true", "false", "null", "NaN", "Infinity", "-Infinity") and not (
                 pos == n and (any(x.startswith(w) for x in ("true", "false", "null")) or re.fullmatch(r"-|-?\d+(?:\.|\.?\d*[eE][-+]?)", w))
             ):
@@ -498,11 +514,17 @@ class Redactor:
     def spans(self, text: str, depth: int = 0, hints: frozenset[str] = frozenset()) -> list[Span]:
         """Items of a text of any form, sorted, not overlapping."""
         head = text.lstrip()[:1]
-        if head and head in '{["' and depth < 6 and '"' in text:
+        like = head and head in '{["' and depth < 6 and '"' in text
+        if like:
             got = _leaves(text)
-            return self._mixed(text, depth, hints) if got is None else self._json(text, got[0], depth, hints)
-        if text.startswith("data:") and depth == 0:
-            return self._stream(text)
+            if got is not None:
+                return self._json(text, got[0], depth, hints)
+        if "data:" in text and depth < 6:
+            got = self._stream(text, depth)
+            if got is not None:
+                return got
+        if like:
+            return self._mixed(text, depth, hints)
         return self._plain(text, hints)
 
     def _plain(self, text: str, hints: frozenset[str] = frozenset()) -> list[Span]:
@@ -543,11 +565,55 @@ class Redactor:
         out += [x for x in self._plain(text, hints) if not any(s < x[1] and x[0] < e for s, e, _, _ in out)]
         return sorted(out)
 
-    def _stream(self, text: str) -> list[Span]:
-        """Items may run across events: the deltas are joined, and what is found is put back,
-        an item's placeholder into the event in which the item begins."""
-        parts = [(m.start(1), m.group(1), _decode(m.group(1))) for m in _DELTA.finditer(text)]
-        return self._joined([(a, body, p) for a, body, p in parts if p is not None], 0)
+    def _stream(self, text: str, depth: int) -> list[Span] | None:
+        """Items of an event stream, None if ``text`` is none: no data line holds JSON.  They may run
+        across events: the strings at one place (choice and keys) of all events are joined, and what is
+        found is put back, an item's placeholder into the event in which the item begins.  All strings
+        but pure text deltas are read alone too, and what is no JSON event as plain text."""
+        out: list[Span] = []
+        joined: dict[tuple, list[tuple[int, str, str]]] = {}
+        alone: list[tuple[int, int, str, str]] = []
+        rest, done = [], 0
+        for m in _DATA_LINE.finditer(text):
+            a = m.end()
+            if a < done:
+                continue
+            event, paths = None, []
+            stop = a
+            while True:  # an event may go on over several data lines; their marks are blanked
+                stop = text.find("\n", stop)
+                stop = len(text) if stop < 0 else stop
+                part = _DATA_LINE.sub(lambda x: " " * len(x.group()), text[a:stop])
+                paths = []
+                event = _leaves(part, paths) if part.lstrip()[:1] in ("{", "[", '"') else None
+                following = _DATA_LINE.match(text, stop + 1)
+                if event is None or event[1] or not following:
+                    break
+                stop += 1
+            if event is None:
+                continue
+            rest.append((done, m.start()))
+            done = stop
+            for (s, e, kind, key), path in zip(event[0], paths):
+                plain = _decode(text[a + s : a + e]) if path else None
+                if plain is None:
+                    alone.append((a + s, a + e, kind, key))
+                    continue
+                where = (*((x[0], k) for x, k in path[:-1]), path[-1])
+                joined.setdefault(where, []).append((a + s, text[a + s : a + e], plain))
+                if key not in _DELTA_KEYS:
+                    alone.append((a + s, a + e, kind, key))
+        if not done:
+            return None
+        rest.append((done, len(text)))
+        for where, parts in joined.items():
+            if len({p for _, _, p in parts}) > 1 or where[-1] in _DELTA_KEYS:
+                out += self._joined(parts, depth)
+            else:
+                out += [x for p in parts for x in self._joined([p], depth)]
+        extra = self._json(text, alone, depth)
+        extra += [(a + s, a + e, t, put) for a, b in rest if b - a > 4 for s, e, t, put in self._mixed(text[a:b], depth, frozenset())]
+        return sorted(out + [x for x in extra if not any(s < x[1] and x[0] < e for s, e, _, _ in out)])
 
     def _joined(self, parts: list[tuple[int, str, str]], depth: int) -> list[Span]:
         """Items of the text that (start, body, decoded) of ``parts`` make up together."""

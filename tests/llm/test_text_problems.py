@@ -72,6 +72,30 @@ def test_pii_keys_are_cues():
         assert run(text) == (text, set()), text
 
 
+def test_pii_event_streams():
+    run = pii.Redactor().run
+
+    def stream(deltas, mark="data: "):
+        return "".join(mark + json.dumps({"choices": [d]}) + "\n\n" for d in deltas) + "data: [DONE]\n\n"
+
+    args = [{"index": 0, "delta": {"tool_calls": [{"index": 0, "function": {"arguments": x}}]}} for x in ('{"to": "p.moor@exa', 'mple.net", "n": 1}')]
+    out, found = run(stream(args))
+    assert found == {"email"} and "[EMAIL]" in out and "moor" not in out and "mple" not in out
+    reason = [{"index": 0, "delta": {"reasoning": x}} for x in ("mail p.moor@exa", "mple.net now")]
+    for text in (stream(reason), " " + stream(reason), "{}\n" + stream(reason), stream(reason, "event: x\nid: 4\ndata: "), ": hello\n\n" + stream(reason), json.dumps({"log": stream(reason)})):
+        out, found = run(text)
+        assert found == {"email"} and "moor" not in out, text
+    # two choices in turn, the index behind the delta
+    turn = [{"delta": {"content": x}, "index": k} for k, x in ((0, "mail p.moor@exa"), (1, "the lot is "), (0, "mple.net now"), (1, "late"))]
+    out, found = run(stream(turn))
+    assert found == {"email"} and "the lot is " in out and "late" in out and " now" in out
+    assert run('event: x\ndata: {"a":\ndata: "see \\u0061.b@example.org"}\n\n')[1] == {"email"}
+    assert run('data: {"name": "x"}\ndata: plain a.b@example.org\n') == ('data: {"name": "x"}\ndata: plain [EMAIL]\n', {"email"})
+    assert run("data: none, see a.b@example.org")[1] == {"email"}
+    same = stream([{"id": "chat-0559260691"}] * 3)
+    assert run(same) == (same, set())
+
+
 def test_pii_names_beyond_the_list():
     for text in (
         "My name is Zubeda Okonwe and", "patient=Thandiwe Mbeki, ward 4", "Меня зовут Гульнара Ахметова", "mein Name ist Xaver Huber.", "Patient: Mbeki, Thandiwe",
