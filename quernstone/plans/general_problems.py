@@ -16,29 +16,33 @@ def _nested_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.all_positions(_nested_tables(spark, d))
+    """Supertype keys of all children."""
+    return nested.all_children(_nested_tables(spark, d), typed=False).select(*nested.KEYS)
 
 
 def p5_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Structural variants of every child kind, with their numbers of children."""
-    from functools import reduce
-
-    kids = reduce(
-        DataFrame.unionByName,
-        [nested.child_table(df, n, nested.COLUMNS[n][0]) for n, df in _nested_tables(spark, d).items()],
-    )
-    return kids.groupBy("table_name", "child_kind", "parent_kind", "variant").agg(F.count(F.lit(1)).alias("n_children"))
+    """Shapes of every child kind, with their numbers of children."""
+    kids = nested.all_children(_nested_tables(spark, d))
+    shape = F.substring_index("variant", "#", 1)
+    return kids.groupBy("table_name", "child_kind", "parent_kind", shape.alias("shape")).agg(F.count(F.lit(1)).alias("n_children"))
 
 
 def _subtype(table_name: str, kind: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        kids = nested.child_table(table(spark, d, table_name), table_name, nested.COLUMNS[table_name][0])
-        return nested.subtype_table(kids, kind)
+        kids = nested.children(table(spark, d, table_name), table_name, nested.COLUMNS[table_name][0])
+        out = nested.subtype_table(kids, kind).drop("variant")
+        return out.withColumns({c: F.round(c, 9) for c, (_, t) in nested.SUBTYPES[kind].items() if t == "double"})
 
     query.__name__ = f"p5_{kind}s"
     return query
 
 
+def p5_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Elements of every array at any path of the request bodies, per path and level."""
+    kids = nested.array_children(table(spark, d, "request_logs").select("id", "request_body").distinct(), "request_body")
+    return kids.groupBy("path", "parent_path").agg(F.count(F.lit(1)).alias("n_elements"), F.countDistinct("record_id").alias("n_records"))
+
+
 def _refs(spark: SparkSession, d: str) -> DataFrame:
     return refs.references({t: table(spark, d, t) for t in REFERRING})
 
@@ -55,6 +59,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p5_found": p5_found,
     "p5_variants": p5_variants,
+    "p5_arrays": p5_arrays,
     **{f"p5_{k}s": _subtype(t, k) for t, (_, kinds) in nested.COLUMNS.items() for k in kinds},
     "p7_found": p7_found,
     "p7_report": p7_report,
@@ -93,7 +98,7 @@ def _items(source: str, value: str, path: str, keep: str) -> str:
     )
 
 
-_P5_SQL = f"""
+_P5_CTE = f"""
 WITH r AS ({_read("request_logs", "request_body")}), d AS ({_read("detections", "detail")}), a AS ({_read("attributions", "tokens")}),
 ro AS (SELECT * FROM r WHERE json_type(j) = 'OBJECT'), dx AS (SELECT * FROM d WHERE json_type(j) = 'OBJECT'),
 m AS ({_items("ro", "j", "$.messages", "id")}), mo AS (SELECT id, v AS mv, i AS o FROM m WHERE json_type(v) = 'OBJECT'),
@@ -104,12 +109,36 @@ k AS ({_items("a", "j", "$", "id")}),
 u AS (
   SELECT 'request_logs' AS table_name, id, 'message' AS child_kind, i AS outer_idx, -1 AS inner_idx, v FROM m UNION ALL SELECT 'request_logs', id, 'part', o, i, v FROM p
   UNION ALL SELECT 'request_logs', id, 'tool_call', o, i, v FROM c UNION ALL SELECT 'detections', id, 'segment', i, -1, v FROM s UNION ALL SELECT 'detections', id, 'trigger', o, i, v FROM t
-  UNION ALL SELECT 'detections', id, 'xai_token', i, -1, v FROM x UNION ALL SELECT 'attributions', id, 'token', i, -1, v FROM k)
-SELECT DISTINCT table_name, id AS record_id, child_kind, CAST(outer_idx AS INT) AS outer_idx, CAST(inner_idx AS INT) AS inner_idx FROM u WHERE json_type(v) <> 'NULL'
+  UNION ALL SELECT 'detections', id, 'xai_token', i, -1, v FROM x UNION ALL SELECT 'attributions', id, 'token', i, -1, v FROM k),
+w AS (SELECT DISTINCT table_name, id AS record_id, child_kind, CASE child_kind WHEN 'part' THEN 'message' WHEN 'tool_call' THEN 'message' WHEN 'trigger' THEN 'segment' ELSE 'record' END AS parent_kind,
+  CAST(outer_idx AS INT) AS outer_idx, CAST(inner_idx AS INT) AS inner_idx, v FROM u WHERE json_type(v) <> 'NULL')
 """
+_P5_SQL = _P5_CTE + "SELECT table_name, record_id, child_kind, outer_idx, inner_idx FROM w"
+
+
+def _type_sql(v: str) -> str:
+    return f"CASE json_type({v}) WHEN 'ARRAY' THEN 'arr' WHEN 'OBJECT' THEN 'obj' WHEN 'VARCHAR' THEN 'str' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' ELSE 'num' END"
+
+
+_VARIANTS_SQL = f"""{_P5_CTE}, z AS (SELECT table_name, child_kind, parent_kind, CASE json_type(v)
+  WHEN 'OBJECT' THEN '{{' || array_to_string(list_transform(list_sort(json_keys(v)), lambda f: f || ':' || {_type_sql("json_extract(v, '/' || f)")}), ',') || '}}'
+  WHEN 'ARRAY' THEN '[' || array_to_string(list_sort(list_distinct(list_transform(json_extract(v, '$[*]'), lambda e: {_type_sql("e")}))), '|') || ']' ELSE {_type_sql("v")} END AS shape FROM w)
+SELECT table_name, child_kind, parent_kind, shape, count(*) AS n_children FROM z GROUP BY ALL"""
+
+
+def _subtype_sql(kind: str) -> str:
+    def col(name: str, path: tuple, t: str) -> str:
+        text = f"v->>'$.{'.'.join(path)}'" if path else "v->>'$'"
+        return f"round(TRY_CAST({text} AS DOUBLE), 9) AS {name}" if t == "double" else f"TRY_CAST({text} AS {'INT' if t == 'int' else 'VARCHAR'}) AS {name}"
+
+    cols = ", ".join(col(c, path, t) for c, (path, t) in nested.SUBTYPES[kind].items())
+    return f"{_P5_CTE} SELECT table_name, record_id, outer_idx, inner_idx, parent_kind, {cols} FROM w WHERE child_kind = '{kind}'"
+
 
 ORACLES = {
     "p5_found": _P5_SQL,
+    "p5_variants": _VARIANTS_SQL,
+    **{f"p5_{k}s": _subtype_sql(k) for k in nested.KINDS},
     "p7_found": _REFS_SQL + "SELECT DISTINCT table_name, record_id FROM judged WHERE orphan",
     "p7_report": _REFS_SQL
     + """SELECT table_name, period, count(*) AS n_references, CAST(count(*) FILTER (orphan) AS BIGINT) AS n_orphans,
