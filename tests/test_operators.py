@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quernstone.config import EngineConfig
 from quernstone.functions import normalizer as nz
 from quernstone.functions import text as tx
-from quernstone.operators import decide, detect, evaluation, nested, panels, references, retrain, segments
+from quernstone.operators import decide, detect, evaluation, nested, panels, references, retrain, segments, skew
 from quernstone.sources.rules import RuleSource, load_rules, needed_literals, parse_rules
 
 RULES = load_rules()
@@ -285,21 +285,54 @@ def test_nested(spark):
     body = {"messages": [{"content": [{"type": "text", "text": "a"}, None, {"text": "b"}]}, None, {"content": {"text": "x"}, "tool_calls": {"id": "c"}}, "bare", {"content": "plain", "tool_calls": [None, {"id": "d"}]}]}
     rows = [("1", json.dumps(body), "clash"), ("1", json.dumps(body), "again"), ("2", json.dumps(json.dumps({"messages": {"content": []}})), None), ("3", "{broken", None), ("4", None, None), ("5", '"text"', None), ("6", "[" * 3000, None), (None, '{"messages": 5}', None)]
     df = spark.createDataFrame(rows, "id string, request_body string, kids string")
-    got = {tuple(r)[1:] for r in nested.child_positions(df, "request_logs", "request_body").collect()}
+    keys = lambda t: {tuple(r)[1:] for r in t.select(*nested.KEYS).collect()}
+    got = keys(nested.children(df, "request_logs", "request_body"))
     assert got == {
         ("1", "message", 0, -1), ("1", "message", 2, -1), ("1", "message", 3, -1), ("1", "message", 4, -1), ("1", "part", 0, 0), ("1", "part", 0, 2), ("1", "part", 2, 0), ("1", "tool_call", 2, 0), ("1", "tool_call", 4, 1),
         ("2", "message", 0, -1), (None, "message", 0, -1),
     }
-    assert nested.child_positions(df.limit(0), "request_logs", "request_body").count() == 0
-    det = spark.createDataFrame([("d", json.dumps({"per_segment": [{"triggers": ["t", None]}, {"triggers": "s"}, {}], "xai": {"tokens": [{"token": "a", "score": 1}, None]}}))], "id string, detail string")
-    kids = nested.child_table(det, "detections", "detail")
-    assert {(r.child_kind, r.outer_idx, r.inner_idx, r.parent_kind) for r in kids.collect()} == {("segment", 0, -1, "record"), ("segment", 1, -1, "record"), ("segment", 2, -1, "record"), ("trigger", 0, 0, "segment"), ("trigger", 1, 0, "segment"), ("xai_token", 0, -1, "record")}
+    assert got == keys(nested.children(df, "request_logs", "request_body", typed=False))
+    assert nested.children(df.limit(0), "request_logs", "request_body").count() == 0
+    det = spark.createDataFrame([("d", json.dumps({"per_segment": [{"triggers": ["t", None], "score": 0.5}, {"triggers": "s", "idx": "4"}, {}], "xai": {"tokens": [{"token": "a", "score": 1}, None]}}))], "id string, detail string")
+    kids = nested.children(det, "detections", "detail")
+    assert {(r.child_kind, r.outer_idx, r.inner_idx, r.parent_kind) for r in kids.collect()} == {
+        ("segment", 0, -1, "record"), ("segment", 1, -1, "record"), ("segment", 2, -1, "record"), ("trigger", 0, 0, "segment"), ("trigger", 1, 0, "segment"), ("xai_token", 0, -1, "record"),
+    }
     assert {r.trigger for r in nested.subtype_table(kids, "trigger").collect()} == {"t", "s"}
+    assert {(r.outer_idx, r.idx, r.score) for r in nested.subtype_table(kids, "segment").collect()} == {(0, None, 0.5), (1, 4, None), (2, None, None)}
+    every = nested.array_children(det, "detail").collect()
+    assert {(r.path, r.position, r.parent_path, r.parent_position) for r in every} >= {("$.per_segment[]", "2", "", ""), ("$.per_segment[].triggers[]", "0.0", "$.per_segment[]", "0"), ("$.xai.tokens[]", "0", "", "")}
     a = nested.TreeAutomaton()
-    assert a.run({"x": 1, "y": ["s"]}) == a.run({"y": ["t", "u"], "x": 2.5}) != a.run({"x": 1, "y": [1]}) and a.names[a.run({"k": [None, {}]})] == "{k:[null|{}]}"
+    assert a.run({"x": 1, "y": ["s"]}) == a.run({"y": ["t", "u"], "x": 2.5}) != a.run({"x": 1, "y": [1]})
+    assert a.variant(a.run({"k": [None, {}]})).startswith("{k:arr}#") and a.variant(a.run(1)) == "num"
+
 
+def test_nested_versions_and_depth(spark, tmp_path):
+    import datetime as dt
 
-def test_references(spark):
+    one, two = ({"messages": [{"role": r, "content": [{"text": r}] * n}]} for r, n in (("old", 3), ("new", 1)))
+    rows = [("1", json.dumps(one), dt.datetime(2025, 1, 1)), ("1", json.dumps(two), dt.datetime(2025, 1, 2)), ("1", "{broken", dt.datetime(2025, 1, 3)), ("1", None, None)]
+    kids = nested.children(spark.createDataFrame(rows, "id string, request_body string, created_at timestamp"), "request_logs", "request_body")
+    assert {(r.child_kind, r.role, r.text) for r in kids.collect()} == {("message", "new", None), ("part", None, "new")}
+    nested.write_tables(kids, str(tmp_path / "kids"))
+    assert [r.text for r in nested.read_subtype(spark, str(tmp_path / "kids"), "part").collect()] == ["new"]
+    deep = '{"messages": ' + '{"content": [' * 60_000 + "]}" * 60_000 + "}"
+    wrapped = json.dumps({"messages": []})
+    for _ in range(9):
+        wrapped = json.dumps(wrapped.replace("[]", '[{"role": "u"}]'))
+    df = spark.createDataFrame([("deep", deep), ("wrapped", wrapped)], "id string, request_body string")
+    assert {tuple(r) for r in nested.children(df, "t", "request_body").select("record_id", "child_kind").collect()} == {("deep", "message"), ("deep", "part"), ("wrapped", "message")}
+    for t in ("[1,]", '{"a":1,}', "[1 2]", "[]", '[{"a":[1,2,{"b":null}]}, "x\\n"]', '"x"', "1.5e3", "[1]x", "", "[", '{"a":1}}'):
+        try:
+            plain = json.loads(t)
+        except ValueError:
+            with pytest.raises(ValueError):
+                nested.parse_deep(t)
+        else:
+            assert nested.parse_deep(t) == plain and json.loads(nested.dump(plain)) == plain
+
+
+def test_references(spark, monkeypatch):
     import datetime as dt
 
     t = lambda h: dt.datetime(2025, 1, 31, 20) + dt.timedelta(hours=h)
@@ -313,3 +346,20 @@ def test_references(spark):
     assert sum(r.n_orphans for r in counts) == len(got) and sum(r.n_references for r in counts) == 6000 + 4
     assert references.orphan_records(references.references({"t": tab.limit(0)}), req).count() == 0
     assert references.orphan_records(refs, req.limit(0)).count() == 6004
+    # keys that hold half of the rows, or just less than the limit: no task meets more than the limit
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 500)
+    assert {r.record_id for r in references.orphan_records(refs, req).collect()} == got
+    again = references.orphan_counts(refs, req).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, counts))
+
+
+def test_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 100)
+    rows = [("hot", i) for i in range(1000)] + [("warm", i) for i in range(99)] + [(f"k{i}", i) for i in range(500)] + [(None, 1), ("hot", 0)]
+    big = spark.createDataFrame(rows, "k string, i int")
+    unique = spark.createDataFrame([("hot", 1.0), ("warm", 2.0), ("k3", 3.0), (None, 4.0)], "k string, v double")
+    heavy = skew.heavy_keys(big.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k", "n", len(rows))
+    assert heavy == [("hot", 11)]
+    for how in ("left", "inner"):
+        salted = skew.join_unique(big, unique, "k", heavy, how)
+        assert sorted(map(str, salted.collect())) == sorted(map(str, big.join(unique, "k", how).collect()))
