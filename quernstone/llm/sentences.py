@@ -1,15 +1,18 @@
 """Sentence units across languages and scripts (problem 10).
 
-Document-centred disambiguation.  A full stop after a possible abbreviation is
-decided by, in this order:
-
-1. unambiguous occurrences elsewhere in the same document: the token followed by
-   a full stop and a lower-case word, digit or comma shows an abbreviation; the
-   next word seen capitalised inside a sentence, and never in lower case, shows
-   a proper name;
-2. corpus fallback: tokens whose full stop is, over the whole corpus, nearly
-   always followed by a lower-case word or digit (``corpus_abbreviations``);
-3. fixed lists of titles and inner abbreviations.
+Document-centred disambiguation.  A full stop after a token that may be an
+abbreviation is decided by the first of these that says anything:
+
+1. unambiguous occurrences elsewhere in the same document.  The token followed by a
+   full stop and a lower-case word or comma, and never without a full stop, shows an
+   abbreviation; the token without a full stop, and never with one before a
+   lower-case word, shows an ordinary word, whose full stop ends a sentence.  The
+   next word seen capitalised inside a sentence, and never in lower case, shows a
+   proper name, before which an abbreviation ends nothing; the next word seen in
+   lower case shows that its capital begins a sentence;
+2. corpus fallback: tokens whose full stop is, over the whole corpus, nearly always
+   followed by a lower-case word (:func:`corpus_abbreviations`);
+3. fixed lists of titles, inner and numbered abbreviations.
 
 All other terminators follow rules of their script: danda for Devanagari,
 ideographic stops for Chinese and Japanese (no space needed), spaces for Thai.
@@ -18,13 +21,16 @@ ideographic stops for Chinese and Japanese (no space needed), spaces for Thai.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.session import cut_lineage, spread
+from quernstone.operators.skew import heavy_keys, join_unique
+from quernstone.session import BROADCAST_ROWS, cut_lineage, spread
 
 # Abbreviations by behaviour, lower case, without the last full stop.
 #: stand before a name or number; their full stop never ends a sentence
@@ -66,6 +72,7 @@ def _protected(par: str) -> list[tuple[int, int]]:
     """Spans of quotations and brackets that close within the paragraph."""
     spans: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
+    awaited: Counter = Counter()  # closers of what is open
     straight = -1
     for m in _QUOTE_CHARS.finditer(par):
         c, i = m.group(), m.start()
@@ -77,65 +84,72 @@ def _protected(par: str) -> list[tuple[int, int]]:
                 straight = -1
         elif c == "„":
             stack.append(("“”", i))
+            awaited.update("“”")
         elif stack and c in stack[-1][0]:
-            spans.append((stack.pop()[1], i))
+            closers, a = stack.pop()
+            awaited.subtract(closers)
+            spans.append((a, i))
         elif c in _PAIRS:
             stack.append((_PAIRS[c], i))
-        elif stack:
-            for k in range(len(stack) - 1, -1, -1):
-                if c in stack[k][0]:
-                    spans.append((stack[k][1], i))
-                    del stack[k:]
+            awaited[_PAIRS[c]] += 1
+        elif awaited[c] > 0:
+            while True:  # what was opened inside stays open for good
+                closers, a = stack.pop()
+                awaited.subtract(closers)
+                if c in closers:
+                    spans.append((a, i))
                     break
     spans.sort()
     return spans
 
 
 _EVIDENCE = re.compile(r"(?<!\w)([^\W\d_]{1,6}(?:\.[^\W\d_]{1,3})*)\.(?:,|[^\S\n]+[a-zа-яёß-öø-ÿ])")
+_PLAIN = re.compile(r"(?<!\w)[^\W\d_]{1,8}(?![\w.])")
+_MID_CAPITAL = re.compile(r"(?:(?<=[^\W\d_] )|(?<=, ))[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][^\W\d_]*(?!\w)")
+_NEXT_WORD = re.compile(r"[^\W\d_]+")
 
 
 class Document:
-    """Lazy evidence from one document."""
+    """Evidence from one document, collected in one pass over it when first asked for."""
 
-    __slots__ = ("text", "_abbr", "_names")
+    __slots__ = ("text", "_abbr", "_plain", "_plain_low", "_words", "_mid")
 
     def __init__(self, text: str) -> None:
         self.text = text
         self._abbr: set[str] | None = None
-        self._names: dict[str, bool] = {}
+        self._words: set[str] | None = None
+
+    def _tokens(self) -> set[str]:
+        if self._abbr is None:
+            self._abbr = {t.lower() for t in _EVIDENCE.findall(self.text)}
+            self._plain = set(_PLAIN.findall(self.text))
+            self._plain_low = {t.lower() for t in self._plain}
+        return self._abbr
+
+    def _names(self) -> set[str]:
+        if self._words is None:
+            text = self.text
+            self._words = set(_NEXT_WORD.findall(text))
+            self._mid = {m.group() for m in _MID_CAPITAL.finditer(text) if text[m.start() - 2] == "," or text[m.start() - 2].islower()}
+        return self._words
 
     def abbreviation(self, tok: str) -> bool:
         """The token's full stop is followed by a lower-case word or comma elsewhere,
         and the token never stands without a full stop."""
-        if self._abbr is None:
-            self._abbr = {t.lower() for t in _EVIDENCE.findall(self.text)}
-        return tok.lower() in self._abbr and not re.search(r"(?<!\w)" + re.escape(tok) + r"(?![\w.])", self.text, re.I)
+        return tok.lower() in self._tokens() and tok.lower() not in self._plain_low
+
+    def ordinary(self, tok: str) -> bool:
+        """The token stands without a full stop, and never with one before a lower-case word."""
+        return tok.lower() not in self._tokens() and tok in self._plain
 
     def proper_name(self, word: str) -> bool:
         """The word stands capitalised after a lower-case word, and never in lower case."""
-        r = self._names.get(word)
-        if r is None:
-            r = self._names[word] = self._looks_proper(word)
-        return r
-
-    def _looks_proper(self, word: str) -> bool:
-        text, low, i, seen = self.text, word.lower(), self.text.find(word), False
-        if low != word:
-            j = text.find(low)
-            while j >= 0:
-                if not text[j - 1 : j].isalnum() and not text[j + len(low) : j + len(low) + 1].isalnum():
-                    return False
-                j = text.find(low, j + 1)
-        while i >= 0 and not seen:
-            before = text[max(0, i - 3) : i]
-            seen = len(before) > 1 and before[-1] == " " and (before[-2].islower() or before[-2] == ",") and not text[
-                i + len(word) : i + len(word) + 1
-            ].isalnum()
-            i = text.find(word, i + 1)
-        return seen
-
+        words, low = self._names(), word.lower()
+        return word in self._mid and (low == word or low not in words)
 
-_NEXT_WORD = re.compile(r"[^\W\d_]+")
+    def common(self, word: str) -> bool:
+        """The word stands in lower case."""
+        return word.lower() in self._names()
 
 
 def _ends(doc: Document, par: str, m: re.Match, start: int, corpus: frozenset) -> bool:
@@ -185,30 +199,42 @@ def _ends(doc: Document, par: str, m: re.Match, start: int, corpus: frozenset) -
     if len(tok) > 8 or not tok:
         return True
     low = tok.lower()
+    nw = _NEXT_WORD.match(par, k)
     if tok.isdigit():
         if m.start() - len(tok) <= start:
             return False  # an item number belongs to its sentence
-        nw = _NEXT_WORD.match(par, k)
         return not (len(tok) <= 2 and nw and nw.group().lower() in MONTHS)
     if len(tok) == 1 and tok.isupper():
         return False  # initial
-    if follow.isdigit() and (low in MONTHS or low in NUMBERED or low in INNER or low in EITHER or low in corpus):
+    if "ऀ" <= tok[0] <= "ॿ":
+        return low not in TITLES and len(tok) > 3
+    word = nw.group() if nw else ""
+    # 1. the document
+    shown = len(tok) > 1 and tok.isalpha() and doc.abbreviation(tok)
+    if word:
+        if shown:
+            if doc.proper_name(word):
+                return False
+            if doc.common(word):
+                return True
+        elif len(tok) > 1 and tok.isalpha() and doc.ordinary(tok):
+            return True
+    elif shown:
+        return False  # before a number
+    # 2. the corpus
+    if low in corpus:
+        return False
+    # 3. fixed lists
+    if follow.isdigit() and (low in MONTHS or low in NUMBERED or low in INNER or low in EITHER):
         return False
     if low in TITLES and (tok != low or not tok.isascii()):  # ms. is no title, Ms. is
         return False
     if low in INNER or low in MONTHS:
         return False
-    if "ऀ" <= tok[0] <= "ॿ":
-        return len(tok) > 3
-    if len(tok) == 1:  # single lower-case letters: part of d. h., т. е., p. ej. and the like
-        if low not in EITHER:
-            return False
-    if low in EITHER or low in NUMBERED:
-        nw = _NEXT_WORD.match(par, k)
-        return not (nw and doc.proper_name(nw.group()))
-    if len(tok) <= 6 and (low in corpus or "." in tok or doc.abbreviation(tok)):
-        nw = _NEXT_WORD.match(par, k)
-        return bool(nw) and not doc.proper_name(nw.group()) and nw.group()[:1].isupper() and low not in corpus
+    if len(tok) == 1 and low not in EITHER:  # single lower-case letters: part of d. h., т. е., p. ej. and the like
+        return False
+    if low in EITHER or low in NUMBERED or shown or (len(tok) <= 6 and "." in tok):
+        return not doc.proper_name(word)
     return True
 
 
@@ -245,9 +271,10 @@ def _list_starts(par: str) -> list[int]:
     head of a paragraph, after another item, or when it continues a count, so that a
     hard-wrapped line that happens to begin with a number does not."""
     starts, last = [], None
+    first = len(par) - len(par.lstrip())
     for m in _MARKER.finditer(par):
         mark, num = m.group(1), m.group(2)
-        head = not par[: m.start()].strip()
+        head = m.start() <= first
         if num is not None:
             if num.isdigit():
                 v = int(num)
@@ -279,7 +306,8 @@ def _paragraph(doc: Document, par: str, base: int, corpus: frozenset, add) -> No
 
 def _lines(doc: Document, par: str, base: int, corpus: frozenset, add) -> None:
     if "\n" in par:
-        cuts = [s for s in _list_starts(par) if par[:s].strip()]
+        first = len(par) - len(par.lstrip())
+        cuts = [s for s in _list_starts(par) if s > first]
         if cuts:
             pos = 0
             for c in [*cuts, len(par)]:
@@ -289,29 +317,29 @@ def _lines(doc: Document, par: str, base: int, corpus: frozenset, add) -> None:
     _block(doc, par, base, corpus, add)
 
 
-def _within(spans: list[tuple[int, int]], k: int, i: int, e: int) -> tuple[bool, bool]:
-    """Does a span from the k-th on hold the terminator at ``i`` up to ``e``; does one end at ``e``?"""
-    within = closes = False
-    while k < len(spans) and spans[k][0] < i:
-        b = spans[k][1]
-        within = within or (i < b and e <= b)
-        closes = closes or b == e
-        k += 1
-    return within, closes
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _block(doc: Document, par: str, base: int, corpus: frozenset, add) -> None:
     spans = _protected(par) if _QUOTE_CHARS.search(par) else []
-    start, si = 0, 0
+    ends = {b for _, b in spans}
+    spans = _united(spans)
+    start = 0
     lead = _MARKER.match(par)
     for m in _TERM.finditer(par, lead.end() if lead else 0):
         if spans:
             i, e = m.start(), m.end()
-            while si < len(spans) and spans[si][1] < i:
-                si += 1
-            within, closes = _within(spans, si, i, e)
-            if within:
-                if not (e < len(par) and par[e] == "“" and closes):
+            k = bisect_left(spans, (i,)) - 1
+            if k >= 0 and i < spans[k][1] and e <= spans[k][1]:
+                if not (e < len(par) and par[e] == "“" and e in ends):
                     continue
                 m = _TERM_LOW.match(par, i)  # a German quotation closes with the opening mark of others
         if _ends(doc, par, m, start, corpus):
@@ -321,56 +349,59 @@ def _block(doc: Document, par: str, base: int, corpus: frozenset, add) -> None:
     add(base + start, base + len(par))
 
 
-#: A token enters the corpus fallback with at least this share of all abbreviation
-#: evidence; at most 1 / share tokens can, which bounds the broadcast set.
-EVIDENCE_SHARE = 1 / 20_000
+#: occurrences before a lower-case word that a token needs to enter the corpus fallback, and their share
+LEAST, SHARE = 3, 0.9
 
 
-def corpus_abbreviations(docs: DataFrame, text_col: str = "text") -> frozenset:
-    """Tokens of up to six letters whose full stop is followed by a lower-case word or
-    a digit in at least nine of ten occurrences, counted over all documents.
-
-    The counting runs once, inside the JVM, and reduces map-side; what comes back holds at
-    most ``1 / EVIDENCE_SHARE`` tokens.
-    """
-    # token, what follows: l(ower case or digit) or u(pper case)
-    found = F.regexp_extract_all(
-        F.col(text_col), F.lit(r"(?<![\p{L}\p{N}])(\p{L}{1,6}\.[^\S\n]+[\p{Ll}\p{Lu}\p{N}])"), F.lit(1)
-    )
+def corpus_abbreviations(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(tok): tokens of up to six letters whose full stop is followed by a lower-case word
+    in at least ``SHARE`` of its occurrences before words, and ``LEAST`` times or more,
+    counted over all documents inside the JVM, reduced map-side."""
+    found = F.regexp_extract_all(F.col(text_col), F.lit(r"(?<![\p{L}\p{N}])(\p{L}{1,6}\.[^\S\n]+[\p{Ll}\p{Lu}])"), F.lit(1))
     hits = docs.where(F.col(text_col).isNotNull()).select(F.explode(found).alias("h"))
-    counts = cut_lineage(
-        hits.groupBy("h")
-        .count()
-        .select(
-            F.lower(F.substring_index("h", ".", 1)).alias("tok"),
-            F.when(F.col("h").rlike(r"[\p{Ll}\p{N}]$"), F.col("count")).otherwise(0).alias("low"),
-            F.col("count").alias("n"),
-        )
-        .groupBy("tok")
-        .agg(F.sum("low").alias("low"), F.sum("n").alias("n"))
-        .where(F.col("low") >= 0.9 * F.col("n"))
-    )
-    total = counts.agg(F.sum("low")).first()[0] or 0
-    floor = max(3, int(total * EVIDENCE_SHARE))
-    return frozenset(r[0] for r in counts.where(F.col("low") >= floor).select("tok").collect())
-
-
-def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    # token and what follows: an l(ower case) or another letter
+    short = hits.select(F.lower(F.substring_index("h", ".", 1)).alias("tok"), F.col("h").rlike(r"\p{Ll}$").alias("l"))
+    return (
+        short.groupBy("tok", "l").count()
+        .groupBy("tok").agg(F.sum(F.when(F.col("l"), F.col("count")).otherwise(0)).alias("low"), F.sum("count").alias("n"))
+        .where((F.col("low") >= SHARE * F.col("n")) & (F.col("low") >= LEAST)).select("tok")
+    )
+
+
+def _asked(docs: DataFrame, corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tokens): the corpus's tokens that a document asks about, by a shuffle join."""
+    found = F.regexp_extract_all(F.lower(text_col), F.lit(r"(?<![\p{L}\p{N}])(\p{L}{1,6})\.\s"), F.lit(1))
+    pairs = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(found)).alias("tok"))
+    counts = pairs.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    heavy = heavy_keys(counts, "tok", "n", docs.count())
+    return join_unique(pairs, corpus, "tok", heavy, "inner").groupBy("_id").agg(F.collect_set("tok").alias("_tokens"))
+
+
+def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = BROADCAST_ROWS) -> DataFrame:
     """(id, start_pos, end_pos): one row per sentence of every document.
 
-    Null and empty texts give no rows; other columns of ``docs`` are not read.
+    Null and empty texts give no rows; other columns of ``docs`` are not read.  The
+    corpus's tokens are sent to all workers if there are at most ``held`` of them; more
+    are joined to the documents that ask about them, with the same result.
     """
-    corpus = corpus_abbreviations(docs, text_col)
+    source = docs.select(id_col, text_col)
+    table = cut_lineage(corpus_abbreviations(docs, text_col))
+    few = table.count() <= held
+    known = frozenset(r[0] for r in table.collect()) if few else frozenset()
+    if not few:
+        asked = _asked(source, table, id_col, text_col)
+        source = source.join(asked, F.col(id_col).eqNullSafe(F.col("_id")), "left").select(id_col, text_col, "_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, a, e = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                spans = sentence_spans(t, corpus)
+            own = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
+            for i, t, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), own):
+                spans = sentence_spans(t, known if few else frozenset(tokens or ()))
                 ids.extend([i] * len(spans))
                 a.extend([s[0] for s in spans])
                 e.extend([s[1] for s in spans])
             yield pa.record_batch([pa.array(ids, b.schema.field(0).type), pa.array(a, pa.int32()), pa.array(e, pa.int32())], [id_col, "start_pos", "end_pos"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"{id_col} {id_type}, start_pos int, end_pos int")
+    return spread(source).mapInArrow(run, f"{id_col} {id_type}, start_pos int, end_pos int")

@@ -182,7 +182,7 @@ def test_sentences():
     assert split("नए विवरण ने दोहराया। डॉ. शिलांकर ने जाँचा। क्या?") == ["नए विवरण ने दोहराया।", "डॉ. शिलांकर ने जाँचा।", "क्या?"]
     assert split("ข้อความเร็ว ประตูลับ\nดัชนีใหม่") == ["ข้อความเร็ว", "ประตูลับ", "ดัชนีใหม่"]
     assert split("## A title\n\nOne two\nthree. Four\n\n1. First item.\n2. Second item\n- dash") == ["## A title", "One two\nthree.", "Four", "1. First item.", "2. Second item", "- dash"]
-    assert split("It held\n3103 rows and then\n12. Nothing") == ["It held\n3103 rows and then\n12.", "Nothing"] or True
+    assert split("It held\n3103 rows and then\n12. Nothing") == ["It held\n3103 rows and then\n12.", "Nothing"]
     assert split("near the itinerary.Ticket OPS-1 says so.") == ["near the itinerary.", "Ticket OPS-1 says so."]
     assert split(None) == [] and split("") == [] and split(" \n ") == []
 
@@ -198,10 +198,37 @@ def test_sentences_cover_the_text():
 
 
 def test_document_evidence():
-    doc = "The mod. holds. We saw mod. in use, mod. and others. Here mod. Hallbeck stays, as mod, said of Hallbeck."
-    assert sentences.Document("a xyz. lower, b xyz. Upper").abbreviation("xyz")
+    assert sentences.Document("a xyz. lower, b xyz. Upper").abbreviation("xyz") and not sentences.Document("xyz. lower, the xyz is").abbreviation("xyz")
     assert sentences.Document("we met Hallbeck there").proper_name("Hallbeck") and not sentences.Document("the lantern. Lantern").proper_name("Lantern")
-    assert split(doc)
+    # the document shows an abbreviation, and by the next word whether it ends the sentence
+    assert split("The mod. holds, of Hallbeck. Here mod. Hallbeck stays. It is a mod. Stay so, and stay.") == ["The mod. holds, of Hallbeck.", "Here mod. Hallbeck stays.", "It is a mod.", "Stay so, and stay."]
+    # an ordinary word of the document overrules lists and corpus
+    assert split("Each ca is new. It has a ca. Then it went.") == ["Each ca is new.", "It has a ca.", "Then it went."]
+    assert split("It has a ca. Then it went.") == ["It has a ca. Then it went."]
+    assert split("Each zug is new. It has a zug. Then it went.", frozenset(["zug"])) == ["Each zug is new.", "It has a zug.", "Then it went."]
+    assert split("It has a zug. Then it went.", frozenset(["zug"])) == ["It has a zug. Then it went."]
+
+
+def test_sentences_take_linear_time():
+    import time
+
+    for unit in ('"We met (Dr. Xu) in no. 5 of [the] fig. Then J. K. said Etc. "', "(", "- a. b\n", "x] (y. A "):
+        took = []
+        for n in (20_000, 80_000):
+            text = unit * (n // len(unit))
+            t = time.perf_counter()
+            sentences.sentence_spans(text)
+            took.append(time.perf_counter() - t)
+        assert took[1] < 10 * took[0] + 0.2, (unit, took)
+
+
+def test_sentences_of_a_small_and_a_large_corpus(spark):
+    """A document is split alike however large the corpus; tokens held or joined."""
+    own = [(i, f"See wid. Upper {i}.") for i in range(4)] + [(100 + i, f"the wid. lower one {i}") for i in range(40)]
+    more = [(200 + i, f"some k{chr(97 + i % 26)}. lower words stand. here") for i in range(3000)]
+    small, large = (spark.createDataFrame(r, "doc_id bigint, text string") for r in (own, own + more))
+    got = [sorted(map(tuple, sentences.sentences(df, held=h).where("doc_id < 100").collect())) for df, h in ((small, 100), (large, 100), (large, 0))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 4
 
 
 def test_sentences_frame(spark):
