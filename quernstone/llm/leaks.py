@@ -5,9 +5,12 @@ an item stand in a document with at most ``ERRORS`` of them changed.  Every such
 window, cut into ``ERRORS + 1`` pieces, keeps one piece whole, so exact hits of
 the pieces find all candidates; Myers' bit-parallel distance over words decides.
 
-The items are a frozen set of fixed size.  Up to ``MAX_ITEM_WORDS`` words their
-pieces are sent to all executors; a larger set is matched by a shuffle join of
-piece hashes instead, with the same result.
+The route is one for item sets of any size.  Pieces are 64-bit hashes.  A bit set
+of the items' pieces, of at most ``MAX_BITS`` bits whatever their number, goes to
+all workers and takes out nearly all pieces of the documents; those that pass meet
+the items' pieces in a join partitioned by hash, in which frequent pieces are
+salted, and only they carry the words around them for the verification.  A fuller
+bit set lets more pieces pass, but loses none.
 """
 
 from __future__ import annotations
@@ -18,15 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.session import spread
+from quernstone.operators.skew import heavy_keys, join_unique
+from quernstone.session import cut_lineage, spread
 
 WINDOW = 12
 ERRORS = 1
 PIECE = WINDOW // (ERRORS + 1)
-MAX_ITEM_WORDS = 2_000_000
+#: size of the bit set: BITS_PER_PIECE for each piece of an item, at most MAX_BITS (16 MB)
+BITS_PER_PIECE, MAX_BITS = 16, 1 << 27
+#: words around a piece that a window with errors can reach
+REACH = WINDOW - PIECE + ERRORS
 
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 #: a word: letters and digits with their combining signs; one ideograph or kana is a word
@@ -93,134 +101,111 @@ def _piece_hashes(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-class ItemIndex:
-    """Pieces of all items, and the windows that each piece belongs to."""
-
-    def __init__(self, items: list[tuple[int, str | None]]) -> None:
-        self.vocab: dict[str, int] = {}
-        self.items: dict[int, list[int]] = {}
-        for i, t in items:
-            w = words(t)
-            if len(w) >= WINDOW:
-                self.items[i] = [self.vocab.setdefault(x, len(self.vocab) + 1) for x in w]
-        hashes: dict[int, list[tuple[int, int]]] = {}
-        for i, ids in self.items.items():
-            for p, h in enumerate(_piece_hashes(np.array(ids, np.uint64)).tolist()):
-                hashes.setdefault(h, []).append((i, p))
-        self.places = hashes
-        self.sorted = np.array(sorted(hashes), np.uint64)
-
-    def leaked(self, doc_ids: list[int], hits: list[int], hashes: list[int]) -> list[int]:
-        """Items of which a window stands in the document; ``hits`` are positions whose
-        piece hash is an item's."""
-        found: set[int] = set()
-        for p, h in zip(hits, hashes):
-            for item, q in self.places[h]:
-                if item in found:
-                    continue
-                ids = self.items[item]
-                if ids[q : q + PIECE] != doc_ids[p : p + PIECE]:
-                    continue
-                lo, hi = max(0, p - WINDOW - ERRORS), p + WINDOW + ERRORS + PIECE
-                for start in (q, q - PIECE):  # the piece is the window's first or last part
-                    if 0 <= start <= len(ids) - WINDOW:
-                        a = p - (q - start)
-                        if myers_within(ids[start : start + WINDOW], doc_ids[max(lo, a - ERRORS) : min(hi, a + WINDOW + ERRORS)], ERRORS):
-                            found.add(item)
-                            break
-        return sorted(found)
-
-    def scan(self, texts: list[str | None]) -> list[list[int]]:
-        """Leaked items of every text of a batch, all texts hashed in one pass."""
-        get = self.vocab.get
-        docs = [[get(w, 0) for w in words(t)] for t in texts]
+class _Ids(dict):
+    """64-bit ids of words, remembered; what is remembered is bounded."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) | 1
+        return h
+
+
+class PieceScanner:
+    """Pieces of texts, hashed a batch at a time; ``bits`` is the bit set that they must pass, if any."""
+
+    def __init__(self, bits: np.ndarray | None = None) -> None:
+        self.ids = _Ids()
+        self.bits = bits
+
+    def scan(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, int]]:
+        """(number of the text, piece, words around it, place of the piece among them)."""
+        docs = [words(t) for t in texts]
+        get = self.ids.__getitem__
         sep = [0] * PIECE
         flat: list[int] = []
-        starts = []
-        for d in docs:
+        starts, lengths = [], []
+        for w in docs:
             starts.append(len(flat))
-            flat += d
+            lengths.append(len(w))
+            flat += map(get, w)
             flat += sep
-        ids = np.array(flat, np.uint64)
-        h = _piece_hashes(ids)
-        out: list[list[int]] = [[] for _ in texts]
-        if len(h) == 0 or len(self.sorted) == 0:
-            return out
-        at = np.searchsorted(self.sorted, h)
-        at[at == len(self.sorted)] = 0
-        pos = np.nonzero(self.sorted[at] == h)[0]
-        if len(pos) == 0:
-            return out
+        h = _piece_hashes(np.array(flat, np.uint64))
+        if len(h) == 0:
+            return
+        if self.bits is None:
+            pos = np.arange(len(h))
+        else:
+            k = h & np.uint64(len(self.bits) * 64 - 1)
+            pos = np.nonzero((self.bits[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1))[0]
         owner = np.searchsorted(np.array(starts), pos, side="right") - 1
-        for d in np.unique(owner).tolist():
-            mine = pos[owner == d]
-            out[d] = self.leaked(docs[d], (mine - starts[d]).tolist(), h[mine].tolist())
-        return out
-
+        inside = pos - np.array(starts)[owner] <= np.array(lengths)[owner] - PIECE
+        for n, p, x in zip(owner[inside].tolist(), pos[inside].tolist(), h[pos[inside]].view(np.int64).tolist()):
+            p -= starts[n]
+            lo = max(0, p - REACH)
+            yield n, x, " ".join(docs[n][lo : p + PIECE + REACH]), p - lo
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id): documents that hold a passage of the item.
 
-    Null, empty and short texts on either side give no rows; equal items come out
-    each under its own id; an empty item table gives no rows.
-    """
-    spark = docs.sparkSession
-    size = items.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
-    id_type, item_type = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    if size > 6 * MAX_ITEM_WORDS:
-        return _leaks_by_join(docs, items, doc_id, item_id, text)
-    frozen = spark.sparkContext.broadcast([(r[0], r[1]) for r in items.select(item_id, text).distinct().collect()])
+def _pieces(df: DataFrame, key: str, text: str, prefix: str, bits=None) -> DataFrame:
+    """(key, piece, <prefix>words, <prefix>at) of every text; ``bits`` a broadcast bit set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(frozen.value)
-        item_pa = pa.int64() if item_type in ("bigint", "int") else pa.string()
+        scanner = PieceScanner(None if bits is None else np.frombuffer(bits.value, np.uint64))
         for b in batches:
-            ids, found = [], []
-            for d, hit in zip(b.column(0).to_pylist(), index.scan(b.column(1).to_pylist())):
-                ids += [d] * len(hit)
-                found += hit
-            yield pa.record_batch([pa.array(ids, b.schema.field(0).type), pa.array(found, item_pa)], [doc_id, item_id])
-
-    return spread(docs.select(doc_id, text).where(F.length(text) > 0)).mapInArrow(run, f"{doc_id} {id_type}, {item_id} {item_type}")
-
-
-def _leaks_by_join(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str) -> DataFrame:
-    """The same result for an item set too large to broadcast: pieces of items and
-    documents meet in a shuffle join, one row per piece and document."""
-
-    def pieces(df: DataFrame, key: str, out: str) -> DataFrame:
-        t = df.schema[key].dataType.simpleString()
-
-        def run(batches):
-            for b in batches:
-                ids, hs, ctx = [], [], []
-                for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    w = words(x)
-                    for p in range(len(w) - PIECE + 1):
-                        ids.append(i)
-                        hs.append(" ".join(w[p : p + PIECE]))
-                        lo = max(0, p - PIECE - ERRORS)
-                        ctx.append([str(p - lo), *w[lo : p + WINDOW + ERRORS]])
-                yield pa.record_batch([pa.array(ids, b.schema.field(0).type), pa.array(hs, pa.string()), pa.array(ctx, pa.list_(pa.string()))], [key, "piece", out])
+            keys = b.column(0)
+            got = list(zip(*scanner.scan(b.column(1).to_pylist()))) or [[]] * 4
+            cols = [keys.take(pa.array(got[0], pa.int64())), pa.array(got[1], pa.int64()), pa.array(got[2], pa.string()), pa.array(got[3], pa.int32())]
+            yield pa.record_batch(cols, [key, "piece", f"{prefix}words", f"{prefix}at"])
+
+    t = df.schema[key].dataType.simpleString()
+    return df.mapInArrow(run, f"{key} {t}, piece bigint, {prefix}words string, {prefix}at int")
+
+
+def _bit_set(pieces: DataFrame) -> bytes:
+    """The bit set of all pieces: at most ``MAX_BITS`` / 64 numbers come back."""
+    n = pieces.count()
+    size = 1 << max(10, min(MAX_BITS, BITS_PER_PIECE * n).bit_length() - 1)
+    slot = F.expr(f"cast(shiftrightunsigned(piece & {size - 1}L, 6) as int)")
+    bit = F.expr("shiftleft(1L, cast(piece & 63L as int))")
+    out = np.zeros(size // 64, np.uint64)
+    for slot_no, b in pieces.groupBy(slot.alias("s")).agg(F.bit_or(bit).alias("b")).collect():
+        out[slot_no] = b & 0xFFFFFFFFFFFFFFFF
+    return out.tobytes()
+
+
+def _holds(item: list[str], q: int, doc: list[str], p: int) -> bool:
+    """Does a window of the item around its piece at ``q`` stand in the document around ``p``?"""
+    ids: dict[str, int] = {}
+    for start in (q, q - PIECE):  # the piece is the window's first or last part
+        window = item[start : start + WINDOW] if start >= 0 else []
+        if len(window) == WINDOW:
+            a = p - (q - start)
+            near = doc[max(0, a - ERRORS) : a + WINDOW + ERRORS]
+            if myers_within([ids.setdefault(w, len(ids)) for w in window], [ids.setdefault(w, len(ids)) for w in near], ERRORS):
+                return True
+    return False
 
-        return df.select(key, text).where(F.length(text) > 0).mapInArrow(run, f"{key} {t}, piece string, {out} array<string>")
 
-    met = pieces(docs, doc_id, "around").join(pieces(items, item_id, "whole"), "piece")
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(doc_id, item_id): documents that hold a passage of the item.
 
-    def verify(batches):
+    Null, empty and short texts on either side give no rows; equal items come out
+    each under its own id; an empty item table gives no rows; repeated rows count once.
+    """
+    spark = docs.sparkSession
+    own = items.select(F.col(item_id).alias("_item"), F.col(text).alias("_text")).where(F.length(text) > 0).distinct()
+    frozen = cut_lineage(_pieces(own, "_item", "_text", "i"))
+    bits = spark.sparkContext.broadcast(_bit_set(frozen))
+    corpus = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).where(F.length(text) > 0)
+    hits = cut_lineage(_pieces(spread(corpus), "_doc", "_text", "d", bits))
+    heavy = heavy_keys(hits.groupBy("piece").agg(F.count(F.lit(1)).alias("n")), "piece", "n", hits.count())
+    met = join_unique(hits, frozen, "piece", heavy, "inner", ["_doc", "dwords"]).select("_doc", "_item", "dwords", "dat", "iwords", "iat")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for d, i in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                q, w = int(i[0]), i[1:]
-                p, a = int(d[0]), d[1:]
-                ok = False
-                for start in (q, q - PIECE):
-                    win = w[start : start + WINDOW] if start >= 0 else []
-                    if len(win) == WINDOW:
-                        at = p - (q - start)
-                        ok = ok or myers_within(win, a[max(0, at - ERRORS) : at + WINDOW + ERRORS], ERRORS)
-                keep.append(ok)
-            yield pa.record_batch([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], [doc_id, item_id])
+            dw, da, iw, ia = (b.column(i).to_pylist() for i in range(2, 6))
+            ok = pa.array([_holds(w.split(" "), q, x.split(" "), p) for x, p, w, q in zip(dw, da, iw, ia)], pa.bool_())
+            yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], [doc_id, item_id])
 
     types = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}"
-    return met.select(doc_id, item_id, "around", "whole").mapInArrow(verify, types).distinct()
+    return met.mapInArrow(verify, types).distinct()

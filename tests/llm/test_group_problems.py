@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quernstone.llm import dedup, leaks, mixing, splits
+from quernstone.operators import skew
 
 
 # ------------------------------------------------------------------ problem 2
@@ -122,7 +124,12 @@ def test_leaks_against_brute_force(spark):
     want = {(d, i) for d, dw in small for i, t in items if t for iw in [leaks.words(t)] if hit(dw, iw)}
     got = {tuple(r) for r in leaks.leaks(df, it).collect()}
     assert {x for x in got if x[0] < 103} == want and any(x[0] == 103 for x in got) and len(want) > 10
-    assert {tuple(r) for r in leaks._leaks_by_join(df, it, "doc_id", "item_id", "text").collect()} == got
+    # a full bit set lets every piece pass, hot pieces are salted; the rows stay the same
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(leaks, "MAX_BITS", 64)
+        m.setattr(skew, "ROWS_PER_TASK", 3)
+        m.setattr(leaks, "BITS_PER_PIECE", 1)
+        assert {tuple(r) for r in leaks.leaks(df.where("doc_id < 103"), it).collect()} == want | {x for x in got if x[0] == 102}
     assert leaks.leaks(df.limit(0), it).count() == 0 and leaks.leaks(df, it.limit(0)).count() == 0
 
 
