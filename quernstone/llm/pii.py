@@ -1,17 +1,22 @@
 """Personal information in free text (problem 1).
 
-Anchor expansion: an Aho-Corasick automaton finds anchors (at-signs and their
-spelled-out forms, schemes, identifier and telephone cues, street words, name
-cues); deterministic local parsers expand each anchor to the boundaries of the
-item and validate it.  Digit groups and capitalised given names are anchors too.
-JSON is entered at any depth: strings inside strings, event streams and bodies
-that were cut and are no longer JSON.
+Anchor expansion.  An Aho-Corasick automaton over the lower-case text finds at-signs
+and their spelled-out forms, schemes, identifier, account and telephone cues, street
+words, titles and name cues; a second one over the text as it stands finds capitalised
+given names.  Each anchor counts only at a word boundary, and a deterministic local
+parser expands it to the boundaries of the item and validates it there: the parsers
+look at the words around an anchor, never at the whole text.  Digit groups are anchors
+of numbers that need no cue.
+
+JSON is entered at any depth: strings inside strings, event streams and bodies that
+were cut and are no longer JSON.  Keys are cues of their values.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -64,10 +69,11 @@ NAME_CUES = (
 STRONG_NAME_CUES = (
     "my name is ", "patient=", "patient: ", "patient name: ", "contact name: ", "full name: ", "customer name: ", "signed by ", "spoke with ",
     "меня зовут ", "подписывает ", "передайте это для ", "mein name ist ", "ich heiße ", "me llamo ", "mi nombre es ", "je m'appelle ", "mon nom est ",
+    "regards, ", "sincerely, ", "с уважением, ",
 )
 # Words that introduce a telephone number.
 PHONE_CUES = (
-    "call", "tel", "tel.", "tel:", "phone", "phone=", "phone:", "mobile", "fax", "ring me on", "answers at", "voice message from", "reach me on",
+    "call", "tel", "tel.", "tel:", "sms:", "callto:", "phone", "phone=", "phone:", "mobile", "fax", "ring me on", "answers at", "voice message from", "reach me on",
     "rückruf unter", "telefon", "телефон", "тел.", "тел", "звоните", "teléfono", "llame al", "téléphone", "appelez le", "whatsapp", "sms",
 )
 # Words that introduce an identity number.
@@ -76,6 +82,8 @@ ID_CUES = (
     "national id", "national insurance", "nino", "dni", "nie", "nif", "steuer-id", "steueridentifikationsnummer", "ausweis", "personalausweis", "паспорт", "снилс", "инн",
     "insee", "numéro de sécurité sociale", "tax id",
 )
+# Words that introduce an account: an IBAN or card number, whose checksum must hold.
+ACCOUNT_CUES = ("iban", "credit card", "debit card", "card number", "card no", "kreditkarte", "kartennummer", "konto", "tarjeta", "carte bancaire", "счёт", "счет", "карта", "карты")
 # Words that end or begin a street's name.
 STREET_END = (
     "street", "st", "road", "rd", "lane", "avenue", "ave", "drive", "court", "row", "way", "place", "square", "terrace", "close", "crescent", "boulevard", "blvd",
@@ -84,6 +92,8 @@ STREET_END = (
 STREET_END_DE = ("straße", "strasse", "str.", "gasse", "allee", "weg", "platz", "ring", "damm", "ufer", "stieg", "steig", "hof", "pfad", "chaussee")
 STREET_START = ("rue", "avenue", "boulevard", "place", "chemin", "allée", "impasse", "quai", "calle", "avenida", "plaza", "paseo", "camino", "carretera", "via", "ул.", "улица", "пр.", "проспект", "пер.", "переулок", "наб.", "шоссе", "бульвар")
 STREET_PREP_DE = ("am", "an", "im", "auf", "zum", "zur", "unter")
+# Words that follow a given name in the name of a place, ship or firm.
+PLACE_WORDS = ("airport", "station", "springs", "university", "college", "school", "hospital", "park", "bridge", "island", "islands", "county", "city", "bay", "falls", "beach", "harbor", "harbour", "river", "lake", "valley", "hall", "house", "hotel", "museum", "tower", "cathedral", "church", "stadium")
 # ------------------------------------------------------------------------------
 
 _EMAIL_LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+'-]{0,62}[A-Za-z0-9_+])?"
@@ -165,10 +175,17 @@ _NAME_AFTER = re.compile(
 )
 _TITLE = re.compile(r"(?<![\w.])" + _TITLES + r"\.?\s+(" + _NAME_CHARS + r"(?:\s+[A-ZА-Я]\.)?(?:\s+" + _NAME_CHARS + r")?)")
 _WORD = re.compile(r"[^\W\d_]+")
-_BEFORE_NAME = re.compile(r"(" + _NAME_CHARS + r"),\s+$")
+_LAST_NAME = re.compile(_NAME_CHARS)
 _AFTER_GIVEN = re.compile(r"(?:\s+[A-ZА-Я]\.)?\s+(" + _NAME_CHARS + r")(?!\w)")
 _DIGIT_RUN = re.compile(r"[+(]?\d[\d ().\-/]{5,}")
-_NOT_SURNAMES = frozenset("the and or of for to in on at by is was were with from this that a an if when nobody each please which could und der die das y el la et le les".split())
+_IBAN = re.compile(r"[A-Za-z]{2}\d{2}(?:[ -]?[A-Za-z0-9]){11,30}(?!\w)")
+_CARD = re.compile(r"\d(?:[ -]?\d){11,18}(?!\w)")
+_AFTER_CUE = re.compile(r"[\s:=#]*(?:(?:no\.?|nr\.?|number|nummer|№|номер)[\s:=#]*)?")
+_WORD_START = re.compile(r"(?<!\w)\w")
+_NUMBER_AHEAD = re.compile(r"\s+\d")
+_ENDING = re.compile(r"[^\W\d_]{0,3}")
+_EXTENSION = re.compile("ext|x|доб")
+_NOT_SURNAMES = frozenset("the and or of for to in on at by is was were with from this that a an if when nobody each please which could und der die das y el la et le les".split()) | frozenset(PLACE_WORDS)
 
 _NOT_NAMES = _NOT_SURNAMES | frozenset(
     """support team desk office department service services sales billing security admin administrator staff group company committee please thanks
@@ -176,34 +193,75 @@ _NOT_NAMES = _NOT_SURNAMES | frozenset(
 )
 
 
-def _build_automaton():
+def _build_automata():
+    """(cues over the lower-case text, given names and capital at-signs over the text as it is)."""
     import ahocorasick
 
-    a = ahocorasick.Automaton()
+    low, cased = ahocorasick.Automaton(), ahocorasick.Automaton()
     for kind, cues in (
-        ("at", ("@", "[at]", "(at)", "{at}", "<at>", " at ", "[ at ]", "( at )", "(@)", "[@]")),
+        ("at", ("@", "[at]", "(at)", "{at}", "<at>", "[ at ]", "( at )", "{ at }", "< at >", "(@)", "[@]", "{@}", "<@>")),
         ("phone", PHONE_CUES),
         ("id", ID_CUES),
+        ("account", ACCOUNT_CUES),
         ("name", NAME_CUES),
         ("strong", STRONG_NAME_CUES),
-        ("title", tuple(t + ". " for t in TITLES) + tuple(t + " " for t in ("miss", "herr", "frau", "madame", "monsieur", "señor", "señora"))),
-        ("street", tuple(" " + x for x in STREET_END) + STREET_END_DE + tuple(x + " " for x in STREET_START) + ("box ", "postfach ", "apartado ", "а/я", "am ", "zum ", "zur ")),
+        ("title", tuple(t + "." for t in TITLES) + tuple(t + " " for t in TITLES)),
+        ("street", tuple(" " + x for x in STREET_END) + tuple(x + " " for x in (*STREET_PREP_DE, "box", "postfach", "apartado")) + ("а/я ",) + STREET_START),
+        ("street_de", STREET_END_DE),
     ):
         for c in cues:
-            a.add_word(c, a.get(c, frozenset()) | {kind})
-    a.make_automaton()
-    return a
+            low.add_word(c, (len(c), low.get(c, (0, frozenset()))[1] | {kind}))
+    for n in GIVEN:
+        for form in (n.capitalize(), n.upper()):
+            cased.add_word(form, (len(form), "given"))
+    cased.add_word(" AT ", (4, "at"))
+    low.make_automaton()
+    cased.make_automaton()
+    return low, cased
 
 
-def _overlaps(taken: list[tuple[int, int, str]], a: int, b: int) -> bool:
-    return any(s < b and a < e for s, e, _ in taken)
+class _Taken:
+    """Items found so far, sorted, not overlapping."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[int, int, str]] = []
+
+    def overlaps(self, a: int, b: int) -> bool:
+        k = bisect_left(self.items, (a,))
+        return (k > 0 and self.items[k - 1][1] > a) or (k < len(self.items) and self.items[k][0] < b)
+
+    def add(self, a: int, b: int, kind: str) -> bool:
+        if a >= b or self.overlaps(a, b):
+            return False
+        insort(self.items, (a, b, kind))
+        return True
+
+    def first_inside(self, a: int, b: int) -> int:
+        """Where the first item that begins within (a, b) begins, else b."""
+        k = bisect_left(self.items, (a + 1,))
+        return self.items[k][0] if k < len(self.items) and self.items[k][0] < b else b
+
+    def around(self, a: int) -> int | None:
+        """Number of the item that begins before ``a`` and ends after it."""
+        k = bisect_left(self.items, (a,)) - 1
+        return k if k >= 0 and self.items[k][1] > a else None
+
+
+def _iban(s: str) -> bool:
+    c = "".join(x for x in s if x.isalnum()).upper()
+    return 15 <= len(c) <= 34 and int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
+
+
+def _luhn(s: str) -> bool:
+    d = [int(x) for x in s if x.isdigit()][::-1]
+    return 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
 
 
 class Finder:
     """Anchors and parsers; one per worker."""
 
     def __init__(self) -> None:
-        self.automaton = _build_automaton()
+        self.low, self.cased = _build_automata()
 
     def spans(self, text: str, hints: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
         """(start, end, type) of the items in plain ``text``, sorted, not overlapping.
@@ -211,96 +269,142 @@ class Finder:
         low = text.lower()
         if len(low) != len(text):  # letters whose lower case is longer: keep positions
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-        anchors: dict[str, list[tuple[int, int]]] = {}
-        for end, kinds in self.automaton.iter(low):
+        anchors: dict[str, list[tuple[int, int]]] = {}  # kind -> (start, end)
+        for last, (size, kinds) in self.low.iter(low):
+            a = last + 1 - size
+            if low[a].isalnum() and a and low[a - 1].isalnum() and "street_de" not in kinds:
+                continue  # within a word
             for k in kinds:
-                anchors.setdefault(k, []).append((end + 1, end))
+                anchors.setdefault(k, []).append((a, last + 1))
+        for last, (size, kind) in self.cased.iter(text):
+            a = last + 1 - size
+            if kind == "at" or not (a and (text[a - 1].isalnum() or text[a - 1] in "_@.+-") or text[last + 1 : last + 2].isalnum() or text[last + 1 : last + 2] in ("_", "@")):
+                anchors.setdefault(kind, []).append((a, last + 1))
         for k in hints:
-            anchors.setdefault(k, []).append((0, -1))
-        found: list[tuple[int, int, str]] = []
-        if "at" in anchors:
-            self._emails(text, found)
-        digits = _DIGIT_RUN.search(text) is not None
-        if "street" in anchors:
-            self._addresses(text, found)
-        if "id" in anchors or digits:
-            self._ids(text, low, anchors.get("id", ()), found)
-        if digits:
-            self._phones(text, low, anchors.get("phone", ()), found)
-        self._names(text, low, anchors, found)
-        found.sort()
-        return found
-
-    def _emails(self, text: str, out: list) -> None:
-        for m in _EMAIL.finditer(text):
-            if not m.group(3).isdigit() and ".." not in m.group(1):
-                out.append((m.start(), m.end(), "email"))
-        for m in _EMAIL_SPELLED.finditer(text):
-            if not _overlaps(out, m.start(), m.end()):
-                out.append((m.start(), m.end(), "email"))
-
-    def _ids(self, text: str, low: str, anchors, out: list) -> None:
-        for after, end in anchors:
-            # the cue may be inside a word only at its own end (passport|s, ssn:)
-            m = _ID_LOOSE.match(text, after)
-            if m is None:
-                tail = re.compile(r"[^\W\d_]{0,3}").match(text, after)
-                m = _ID_LOOSE.match(text, tail.end()) if tail else None
-            if m and not _overlaps(out, m.start(1), m.end(1)) and sum(c.isdigit() for c in m.group(1)) >= 6:
-                out.append((m.start(1), m.end(1), "id_number"))
-        for m in _ID_FORMATS.finditer(text):
-            if not _overlaps(out, m.start(), m.end()):
-                out.append((m.start(), m.end(), "id_number"))
-        for m in _ID_BARE.finditer(text):
-            if not _overlaps(out, m.start(), m.end()):
-                out.append((m.start(), m.end(), "id_number"))
-
-    def _phones(self, text: str, low: str, anchors, out: list) -> None:
-        for m in _PHONE.finditer(text):
-            n = sum(c.isdigit() for c in re.split(r"ext|x|доб", m.group())[0])
-            if 8 <= n <= 15 and not _overlaps(out, m.start(), m.end()):
-                out.append((m.start(), m.end(), "phone"))
-        for after, end in anchors:
-            m = _PHONE_LOOSE.match(text, after)
-            if m and not _overlaps(out, m.start(1), m.end(1)):
-                out.append((m.start(1), m.end(1), "phone"))
-
-    def _addresses(self, text: str, out: list) -> None:
-        for m in _ADDRESS.finditer(text):
-            a, b = m.span()
-            for s, e, _ in out:
-                if a < s < b:  # ran into an item that follows
-                    b = s
-            b = a + len(text[a:b].rstrip(" ,\n<"))
-            if _ADDRESS_NEEDS.search(text, a, b) and not _overlaps(out, a, b):
-                out.append((a, b, "address"))
-
-    def _names(self, text: str, low: str, anchors: dict, out: list) -> None:
+            anchors.setdefault(k, []).insert(0, (0, 0))
+        groups = [m.span() for m in _DIGIT_RUN.finditer(text)]
+        found = _Taken()
+        self._emails(text, low, anchors.get("at", ()), found)
+        self._addresses(text, anchors, found)
+        self._accounts(text, anchors.get("account", ()), found)
+        self._ids(text, low, anchors.get("id", ()), groups, found)
+        self._phones(text, anchors.get("phone", ()), groups, found)
+        self._names(text, anchors, found)
+        return found.items
+
+    @staticmethod
+    def _emails(text: str, low: str, anchors, out: _Taken) -> None:
+        for a, b in anchors:
+            i = a
+            while i and text[i - 1].isspace():  # before a spelled sign
+                i -= 1
+            stop = max(0, i - 64)
+            while i > stop and (text[i - 1].isascii() and text[i - 1].isalnum() or text[i - 1] in "._%+'-"):
+                i -= 1
+            while i < a and (not text[i].isalnum() or i and (text[i - 1].isalnum() or text[i - 1] in "_.+@-")):
+                i += 1
+            if i == a:
+                continue
+            if text[a] == "@":
+                m = _EMAIL.match(text, i)
+                ok = m and ".." not in m.group(1)
+            else:
+                m = _EMAIL_SPELLED.match(text, i)
+                ok = m
+            if ok and m.end() > b:
+                out.add(i - 7 if low.endswith("mailto:", 0, i) and not (i > 7 and text[i - 8].isalnum()) else i, m.end(), "email")
+
+    @staticmethod
+    def _accounts(text: str, anchors, out: _Taken) -> None:
+        for _, b in anchors:
+            at = _AFTER_CUE.match(text, b).end()
+            for pattern, holds in ((_IBAN, _iban), (_CARD, _luhn)):
+                m = pattern.match(text, at)
+                if m and holds(m.group()):
+                    out.add(*m.span(), "id_number")
+
+    @staticmethod
+    def _ids(text: str, low: str, anchors, groups, out: _Taken) -> None:
+        for a, b in anchors:
+            m = _ID_LOOSE.match(text, b)
+            if m is None and b - a > 4:  # a longer cue may have an ending (passports)
+                m = _ID_LOOSE.match(text, _ENDING.match(text, b).end())
+            if m and sum(map(str.isdigit, m.group(1))) >= 6:
+                out.add(*m.span(1), "id_number")
+        for pattern in (_ID_FORMATS, _ID_BARE):
+            for a, b in groups:
+                for m in pattern.finditer(text, max(0, a - 4), b + 4):
+                    out.add(*m.span(), "id_number")
+
+    @staticmethod
+    def _phones(text: str, anchors, groups, out: _Taken) -> None:
+        for a, b in groups:
+            for m in _PHONE.finditer(text, a, b + 14):  # room for an extension
+                if m.start() < b and 8 <= sum(map(str.isdigit, _EXTENSION.split(m.group())[0])) <= 15:
+                    out.add(*m.span(), "phone")
+        for _, b in anchors:
+            m = _PHONE_LOOSE.match(text, b)
+            if m:
+                out.add(*m.span(1), "phone")
+
+    @staticmethod
+    def _addresses(text: str, anchors: dict, out: _Taken) -> None:
+        for kind in ("street", "street_de"):
+            for a, b in anchors.get(kind, ()):
+                if kind == "street_de" and not _NUMBER_AHEAD.match(text, b) or out.around(b) is not None:
+                    continue
+                left = a
+                for _ in range(5):  # no form has more words before its street word
+                    while left and text[left - 1].isspace():
+                        left -= 1
+                    while left and not text[left - 1].isspace():
+                        left -= 1
+                for w in _WORD_START.finditer(text, left, b):
+                    m = _ADDRESS.match(text, w.start())
+                    if m and m.end() > a:
+                        s = m.start()
+                        e = out.first_inside(s, m.end())  # ran into an item that follows
+                        e = s + len(text[s:e].rstrip(" ,\n<"))
+                        if _ADDRESS_NEEDS.search(text, s, e) and out.add(s, e, "address"):
+                            break
+
+    def _names(self, text: str, anchors: dict, out: _Taken) -> None:
+        lines: dict[int, tuple[int, int]] = {}
+
         def add(a: int, b: int) -> None:
-            for k, (s, e, t) in enumerate(out):
-                if t == "address" and s < a < e < b:  # the address ran into a name that follows it
-                    out[k] = (s, s + len(text[s:a].rstrip(" ,\n")), t)
-            if not _overlaps(out, a, b):
-                out.append((a, b, "person_name"))
-
-        if "title" in anchors:
-            for m in _TITLE.finditer(text):
-                add(m.start(), m.end())
+            k = out.around(a)
+            if k is not None and out.items[k][2] == "address" and out.items[k][1] < b:  # the address ran into a name that follows it
+                s = out.items[k][0]
+                out.items[k] = (s, s + len(text[s:a].rstrip(" ,\n")), "address")
+            out.add(a, b, "person_name")
+
+        for a, _ in anchors.get("title", ()):
+            m = _TITLE.match(text, a)
+            if m:
+                add(*m.span())
         for kind in ("strong", "name"):
-            for after, end in anchors.get(kind, ()):
-                m = _NAME_AFTER.match(text, after)
-                if m and self._name_like(m, kind == "strong" and not _capitals(text, end)):
-                    add(m.start(), m.end())
-        for m in _CAP_WORD.finditer(text):
-            if m.group().lower() in GIVEN:
-                n = _AFTER_GIVEN.match(text, m.end())
-                if n and n.group(1).lower() not in _NOT_SURNAMES:
-                    if (not m.group().isupper() or n.group(1).isupper()) and _running_text(text, m.start(), n.end(), out):
-                        add(m.start(), n.end())
-                else:
-                    b = _BEFORE_NAME.search(text, max(0, m.start() - 40), m.start())
-                    if b and _running_text(text, b.start(1), m.end(), out):
-                        add(b.start(1), m.end())
+            for _, b in anchors.get(kind, ()):
+                m = _NAME_AFTER.match(text, b)
+                if m and self._name_like(m, kind == "strong" and not _capitals(text, b - 1)):
+                    add(*m.span())
+        for a, b in anchors.get("given", ()):
+            n = _AFTER_GIVEN.match(text, b)
+            if n and n.group(1).lower() not in _NOT_SURNAMES:
+                if (not text[a:b].isupper() or n.group(1).isupper()) and _running_text(text, a, n.end(), out, lines):
+                    add(a, n.end())
+                continue
+            i = a
+            while i and text[i - 1].isspace():
+                i -= 1
+            if i < a and i > 1 and text[i - 1] == ",":  # last name first
+                j = i = i - 1
+                while j and (text[j - 1].isalpha() or text[j - 1] in "'’-"):
+                    j -= 1
+                while j < i and not text[j].isupper():
+                    j += 1
+                m = _LAST_NAME.match(text, j)
+                if m and m.end() == i and not (j and text[j - 1].isalnum()) and m.group().lower() not in _NOT_SURNAMES and _running_text(text, j, b, out, lines):
+                    add(j, b)
 
     @staticmethod
     def _name_like(m: re.Match, strong: bool) -> bool:
@@ -310,7 +414,6 @@ class Finder:
         return strong and not any(p.lower() in _NOT_NAMES for p in parts)
 
 
-_PREVIOUS = re.compile(r"([^\W\d_]+)['’]?[ \t]+$")
 _FOLLOWING = re.compile(r"[ \t]+([^\W\d_]+)")
 
 
@@ -320,26 +423,34 @@ def _capitals(text: str, end: int) -> bool:
     return cue.isupper() and sum(map(str.isalpha, cue)) > 2
 
 
-def _running_text(text: str, a: int, b: int, taken: list) -> bool:
+def _running_text(text: str, a: int, b: int, taken: _Taken, lines: dict[int, tuple[int, int]]) -> bool:
     """Not within a line in title case or capitals, where a capital letter says nothing: a
     word around is not capitalised, or another word of the line is not (half of them, if the
-    name is in capitals).  A word of an item already found does not count, nor do small words."""
-    p = _PREVIOUS.search(text, max(0, a - 30), a)
+    name is in capitals).  A word of an item already found does not count, nor do small words.
+    ``lines`` keeps the counts of lines looked at, so that each is read once."""
+    i = a
+    while i and text[i - 1] in " \t":
+        i -= 1
+    j = i - (i > 0 and text[i - 1] in "'’")
+    k = j
+    while i < a and k and text[k - 1].isalpha():
+        k -= 1
     f = _FOLLOWING.match(text, b)
-    if not (p and p.group(1)[0].isupper() and not _overlaps(taken, p.start(1), p.end(1)) or f and f.group(1)[0].isupper()):
+    if not (k < j and text[k].isupper() and not taken.overlaps(k, j) or f and f.group(1)[0].isupper()):
         return True
-    start, stop = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-    capitals, words, plain = text[a:b].isupper(), 0, 0
-    for m in _WORD.finditer(text, start, len(text) if stop < 0 else stop):
-        w = m.group()
-        if not a <= m.start() < b and w not in _NOT_SURNAMES and not _overlaps(taken, *m.span()):
-            words += 1
-            plain += w.islower()
-    return 2 * plain >= words if capitals else plain > 0
+    start = text.rfind("\n", 0, a) + 1
+    if start not in lines:
+        stop, words, plain = text.find("\n", b), 0, 0
+        for m in _WORD.finditer(text, start, len(text) if stop < 0 else stop):
+            if m.group() not in _NOT_SURNAMES and not taken.overlaps(*m.span()):
+                words += 1
+                plain += m.group().islower()
+        lines[start] = (words, plain)
+    words, plain = lines[start]
+    words -= sum(1 for m in _WORD.finditer(text, a, b) if not taken.overlaps(*m.span()))
+    return 2 * plain >= words if text[a:b].isupper() else plain > 0
 
 
-_CAP_WORD = re.compile(r"(?<![\w@.+-])[A-ZА-ЯЁ][^\W\d_]{1,14}(?![\w@])")
-
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 
 
@@ -354,6 +465,8 @@ def replace(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 # ------------------------------------------------------------------- structure
+#: no item has fewer characters
+SHORTEST = 5
 #: (start, end, type, what stands in its place)
 Span = tuple[int, int, str, str]
 
@@ -412,7 +525,7 @@ _KEY_CUES = {
 @lru_cache(4096)
 def _hints(key: str) -> frozenset[str]:
     """Kinds of item that a key announces: it ends in a cue, or in a cue and a word such as ``number``."""
-    words = [w.lower() for w in _KEY_WORD.findall(key[:80])]
+    words = [w.lower() for w in _KEY_WORD.findall(key)]
     while len(words) > 1 and words[-1] in _KEY_TAIL and " ".join(words[-2:]) not in _KEY_CUES:
         words.pop()
     return frozenset(_KEY_CUES[c] for c in (" ".join(words[-k:]) for k in range(1, 5)) if c in _KEY_CUES)
@@ -491,6 +604,14 @@ def _closed(literal: str) -> bool:
     return len(literal) > 1 and literal[-1] == '"' and (len(body) - len(body.rstrip("\\"))) % 2 == 0
 
 
+def _with(out: list[Span], more: list[Span]) -> list[Span]:
+    """``out`` and those of ``more`` that overlap none of it, sorted."""
+    out.sort()
+    ends = [x[1] for x in out]
+    keep = [x for x in more if (k := bisect_right(ends, x[0])) == len(out) or out[k][0] >= x[1]]
+    return sorted(out + keep)
+
+
 class Redactor:
     """Finds and replaces items in plain text, JSON of any nesting, cut JSON and event streams."""
 
@@ -511,61 +632,61 @@ class Redactor:
         out.append(text[pos:])
         return "".join(out), {t for _, _, t, _ in spans}
 
-    def spans(self, text: str, depth: int = 0, hints: frozenset[str] = frozenset()) -> list[Span]:
-        """Items of a text of any form, sorted, not overlapping."""
+    def spans(self, text: str, hints: frozenset[str] = frozenset()) -> list[Span]:
+        """Items of a text of any form, sorted, not overlapping.  What is inside is shorter than
+        what it is in, and quotes double their escapes, so the depth is the logarithm of the length."""
         head = text.lstrip()[:1]
-        like = head and head in '{["' and depth < 6 and '"' in text
+        like = head and head in '{["' and '"' in text
         if like:
             got = _leaves(text)
             if got is not None:
-                return self._json(text, got[0], depth, hints)
-        if "data:" in text and depth < 6:
-            got = self._stream(text, depth)
+                return self._json(text, got[0], hints)
+        if "data:" in text:
+            got = self._stream(text)
             if got is not None:
                 return got
         if like:
-            return self._mixed(text, depth, hints)
+            return self._mixed(text, hints)
         return self._plain(text, hints)
 
     def _plain(self, text: str, hints: frozenset[str] = frozenset()) -> list[Span]:
         return [(a, b, t, PLACEHOLDER[t]) for a, b, t in self.finder.spans(text, hints)]
 
-    def _literal(self, text: str, a: int, b: int, depth: int, hints: frozenset[str]) -> list[Span]:
+    def _literal(self, text: str, a: int, b: int, hints: frozenset[str]) -> list[Span]:
         """Items of the string whose body is text[a:b]; one that cannot be decoded is read as it stands."""
         body = text[a:b]
         plain = _decode(body)
         if plain is None:
             return [(a + s, a + e, t, json.dumps(put)[1:-1]) for s, e, t, put in self._plain(body, hints)]
-        got = self.spans(plain, depth + 1, hints)
+        got = self.spans(plain, hints)
         if not got:
             return got
         at = _raw_at(body, plain)
         return [(a + at[s], a + at[e], t, json.dumps(put, ensure_ascii=False)[1:-1]) for s, e, t, put in got]
 
-    def _json(self, text: str, leaves, depth: int, hints: frozenset[str] = frozenset()) -> list[Span]:
+    def _json(self, text: str, leaves, hints: frozenset[str] = frozenset()) -> list[Span]:
         """``hints`` hold for a text that is one string."""
         out: list[Span] = []
         for a, b, kind, key in leaves:
-            if b - a < 5:
+            if b - a < SHORTEST:
                 continue
             own = _hints(key) if key else hints
             if kind != "n":
-                out += self._literal(text, a, b, depth, own)
+                out += self._literal(text, a, b, own)
             elif own and text[a:b].isdigit():
                 out += [(a, b, t, json.dumps(put)) for s, e, t, put in self._plain(text[a:b], own) if e - s == b - a]
         return out
 
-    def _mixed(self, text: str, depth: int, hints: frozenset[str]) -> list[Span]:
+    def _mixed(self, text: str, hints: frozenset[str]) -> list[Span]:
         """Text that begins like JSON but is none: plain text, in which quoted strings may hold escapes."""
         out: list[Span] = []
         if "\\" in text:
             for m in _STRING.finditer(text):
                 if "\\" in m.group(1):
-                    out += self._literal(text, m.start(1), m.end(1), depth, frozenset())
-        out += [x for x in self._plain(text, hints) if not any(s < x[1] and x[0] < e for s, e, _, _ in out)]
-        return sorted(out)
+                    out += self._literal(text, m.start(1), m.end(1), frozenset())
+        return _with(out, self._plain(text, hints))
 
-    def _stream(self, text: str, depth: int) -> list[Span] | None:
+    def _stream(self, text: str) -> list[Span] | None:
         """Items of an event stream, None if ``text`` is none: no data line holds JSON.  They may run
         across events: the strings at one place (choice and keys) of all events are joined, and what is
         found is put back, an item's placeholder into the event in which the item begins.  All strings
@@ -608,22 +729,27 @@ class Redactor:
         rest.append((done, len(text)))
         for where, parts in joined.items():
             if len({p for _, _, p in parts}) > 1 or where[-1] in _DELTA_KEYS:
-                out += self._joined(parts, depth)
+                out += self._joined(parts)
             else:
-                out += [x for p in parts for x in self._joined([p], depth)]
-        extra = self._json(text, alone, depth)
-        extra += [(a + s, a + e, t, put) for a, b in rest if b - a > 4 for s, e, t, put in self._mixed(text[a:b], depth, frozenset())]
-        return sorted(out + [x for x in extra if not any(s < x[1] and x[0] < e for s, e, _, _ in out)])
+                out += [x for p in parts for x in self._joined([p])]
+        extra = self._json(text, alone)
+        extra += [(a + s, a + e, t, put) for a, b in rest if b - a >= SHORTEST for s, e, t, put in self._mixed(text[a:b], frozenset())]
+        return _with(out, extra)
 
-    def _joined(self, parts: list[tuple[int, str, str]], depth: int) -> list[Span]:
+    def _joined(self, parts: list[tuple[int, str, str]]) -> list[Span]:
         """Items of the text that (start, body, decoded) of ``parts`` make up together."""
-        found = self.spans("".join(p for _, _, p in parts), depth + 1)
+        found = self.spans("".join(p for _, _, p in parts))
         out: list[Span] = []
-        at = 0
+        at = first = 0
         for a, body, p in parts if found else ():
             raw = None
-            for s, e, t, put in found:
-                if e > at and s < at + len(p):
+            while first < len(found) and found[first][1] <= at:
+                first += 1
+            k = first
+            while k < len(found) and found[k][0] < at + len(p):
+                s, e, t, put = found[k]
+                k += 1
+                if e > at:
                     raw = raw or _raw_at(body, p)
                     out.append((a + raw[max(s - at, 0)], a + raw[min(e - at, len(p))], t, json.dumps(put, ensure_ascii=False)[1:-1] if s >= at else ""))
             at += len(p)

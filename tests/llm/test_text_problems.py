@@ -106,6 +106,125 @@ def test_pii_names_beyond_the_list():
         assert types(text) == set(), (text, types(text))
 
 
+# texts of another family than those the parsers were written with; not used for tuning
+HELD_OUT = [
+    ("Invoices go to billing.dept@orchard.example by Friday.", "email"),
+    ("Reach Kwame at kwame_m@mill.test please", "email"),
+    ("<owner>lee.park+x@node.invalid</owner>", "email"),
+    ("contact: ana.ruiz [at] campo [dot] example", "email"),
+    ("Dial +44 20 7946 0958 for reception", "phone"),
+    ("Her mobile number: 07700 900123", "phone"),
+    ("fax 555-0142-998", "phone"),
+    ("Please phone (212) 555-0175 before noon", "phone"),
+    ("Tel.: 030 / 901820", "phone"),
+    ("Allô? Appelez le 01 99 00 12 34", "phone"),
+    ("WhatsApp: +34 600 000 123", "phone"),
+    ("тел. +7 495 000-00-12", "phone"),
+    ("Applicant SSN: 900-12-3456", "id_number"),
+    ("Passport number X12345678 expires soon", "id_number"),
+    ("NINO QQ 12 34 56 A on file", "id_number"),
+    ("DNI: 12345678Z", "id_number"),
+    ("СНИЛС 112-233-445 95", "id_number"),
+    ("driver's license no. D123-4567-8901", "id_number"),
+    ("Steuer-ID: 12 345 678 901", "id_number"),
+    ("IBAN: DE89 3704 0044 0532 0130 00", "id_number"),
+    ("card number 4111 1111 1111 1111", "id_number"),
+    ("Deliver to 221 Baker Street, London", "address"),
+    ("Office: 1600 Pennsylvania Avenue, Washington, 20500", "address"),
+    ("wohnt in der Hauptstraße 5, 10115 Berlin", "address"),
+    ("12 rue de la Paix, 75002 Paris", "address"),
+    ("Calle Mayor 10, 28013 Madrid", "address"),
+    ("ул. Ленина, д. 5, г. Москва", "address"),
+    ("P.O. Box 99, Springfield", "address"),
+    ("My name is Kwame Mensah.", "person_name"),
+    ("Regards, Aiko Tanaka", "person_name"),
+    ("Signed by Priya Raghavan on Monday", "person_name"),
+    ("Dr. Obi Nwosu will call", "person_name"),
+    ("We met Laura Stein yesterday", "person_name"),
+    ("patient: Chen, Wei", "person_name"),
+    ("Frau Müller kommt später", "person_name"),
+    ("Меня зовут Ольга Петрова", "person_name"),
+    ("me llamo Inés Carrasco", "person_name"),
+    ("je m'appelle Zoé Lambert", "person_name"),
+    ("I spoke with Tunde Bakare about it", "person_name"),
+    ("Contact name: Ingrid Solberg", "person_name"),
+]
+HELD_OUT_CLEAN = [
+    "the companies: 123456789 rows",
+    "I recall 5551234567 rows",
+    "hotel 12345678",
+    "Charlotte Airport is closed",
+    "Victoria Station at noon",
+    "Alice Springs weather",
+    "Version 10.4.2021 released 2021-04-10",
+    "ISBN 978-3-16-148410-0",
+    "sha 1234567890abcdef",
+    "Lot 4411-2299 shipped",
+    "The Main Street index fell",
+    "An Open Road ahead",
+    "GET /api/v1/users/12345678 200",
+    "ETA 12:30:45 on 2024/11/02",
+    "Total 1 234 567 records",
+    "Error code 0x80070057",
+    "uuid 550e8400-e29b-41d4-a716-446655440000",
+    "@property def name",
+    "use git@2.3 or npm@10",
+    "twitter handle @alice",
+    "niece 123456 rows",
+    "intelligence 1234567",
+    "Scarlet Tanager Park",
+    "IPv4 192.168.100.200 port 65535",
+    "card number 4111 1111 1111 1112",
+    "Grace period ends",
+    "Mark the rows",
+    "Will Power is needed",
+    "Rose Garden path",
+    "Paris Hilton Hotel",
+    "Ticket 900-12-345",
+    "10115 rows, 20500 columns",
+    "Ring the bell 5 times",
+    "The way 3 of us went",
+    "A/B test 0123 vs 4567",
+    "Model T-1000 2029",
+    "temperature -12.5 to 1000000.25",
+    "phone model 12",
+    "passport control at gate 12",
+    "name: value",
+]
+
+
+def test_pii_held_out():
+    """Measured: 39 of 40 items, 1 false item in 40 clean texts."""
+    assert sum(kind in types(text) for text, kind in HELD_OUT) >= 39 and sum(bool(types(text)) for text in HELD_OUT_CLEAN) <= 1
+
+
+def test_pii_anchors_at_word_boundaries():
+    for text in ("the companies: 123456789", "I recall 5551234567 rows", "hotel 12345678", "Charlotte Airport", "Victoria Station", "Alice Springs", "card number 4111 1111 1111 1112", "niece 123456"):
+        assert types(text) == set(), (text, types(text))
+    for text, kind in (("Regards, Aiko Tanaka", "person_name"), ("My name is Kwame Mensah", "person_name"), ("IBAN DE89 3704 0044 0532 0130 00", "id_number"), ("Call 0044 1632 960 109 after", "phone"), ("sms:+15550100123", "phone"),
+                       ("Wolfeschlegelsteinhausenbergerdorff, Anna wrote", "person_name"), ("Frau Maximiliane-Wilhelmine kam", "person_name")):
+        assert types(text) == {kind}, (text, types(text))
+    assert pii.Redactor().run("Call 0044 1632 960 109 after")[0] == "Call [PHONE] after"
+
+
+def test_pii_depth_and_length():
+    import time
+
+    deep = "Меня зовут Сергей Ольшанич"
+    for _ in range(9):
+        deep = json.dumps({"m": deep})
+    out, found = pii.Redactor().run(deep)
+    assert found == {"person_name"} and "[PERSON_NAME]" in out
+    unit = "Ask Ms. Hallbeck, mail a.b@example.org or call +49 30 23125 826, 6 Cinder Mill Street, Lower Tarn; Emma Clark. "
+    for make in (lambda n: unit * n, lambda n: json.dumps({"a": [unit] * n}), lambda n: "ring" * 25 * n, lambda n: "a." * 25 * n + "@" * 25 * n, lambda n: "".join("data: " + json.dumps({"choices": [{"delta": {"content": unit}}]}) + "\n\n" for _ in range(n))):
+        took = []
+        for n in (200, 800):
+            t = time.perf_counter()
+            pii.Redactor().run(make(n))
+            took.append(time.perf_counter() - t)
+        assert took[1] < 10 * took[0] + 0.3, took
+
+
 def test_pii_frame(spark):
     df = spark.createDataFrame(
         [("a", "mail p.moor@example.net", None, "x"), ("a", "mail p.moor@example.net", None, "x"), ("b", None, "", "y"), (None, "x" * 200_000, "Ask Ms. Hallbeck", "z"), ("c", "no", "no", None)],
