@@ -1,11 +1,12 @@
 """Duplicates hidden by formatting differences (problem 2).
 
 Each record becomes a multiset of (field name, value) pairs with white space,
-letter case and punctuation taken out.  Every pair is hashed, and the hashes are
-combined by addition modulo 2**64 in two independent lanes: a commutative
-multiset hash that does not depend on field order and needs no sorting.  Records
-are grouped by fingerprint and the fields of every record are compared with those
-of the group's keeper.
+letter case and punctuation taken out; the fields of nested objects count under
+their path, so their order is disregarded at every depth.  Every pair is hashed, and
+the hashes are combined by addition modulo 2**64 in two independent lanes: a
+commutative multiset hash that does not depend on field order and needs no sorting.
+Records are grouped by fingerprint and the fields of every record are compared with
+those of the group's keeper.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.operators.skew import heavy_keys, left_join_unique
+from quernstone.operators.skew import heavy_keys, join_unique
 from quernstone.session import cut_lineage, spread
 
 _SYMBOLS = "$+<=>^`|~"
 #: a mark counts as content only directly between two digits
 _MARK = re.compile(r"(?<=\d)([^\w\s]|_)+(?=\d)")
-_PIECE = re.compile(r"\s*([^\W\d](?:[\w \t-]{0,38}[^\W])?)\s*:\s*([^:]*(?::(?=\d|//)[^:]*)*)\s*", re.S)
-_SEPARATOR = re.compile(r"\s*[;\n]\s*")
+#: name and value of one field of a list: parted at the first colon
+_PIECE = re.compile(r"\s*([^\W\d][\w \t-]*)[ \t]*:(.*)", re.S)
+#: what parts the fields of a list; the first that leaves nothing but fields holds
+_SEPARATORS = tuple(re.compile(x) for x in (r"\s*[;\n]\s*", r"\s*\|\s*", r"\s*,\s*"))
 
 
 def _droppable(c: str) -> bool:
@@ -62,36 +65,53 @@ def squeeze(s: str) -> str:
     return s.translate(_TABLE)
 
 
+class _Object(list):
+    """(name, value) pairs of a JSON object, repeated names included."""
+
+
+def _flat(v, path: str) -> list[tuple[str, str]]:
+    """(path, value) pairs of a JSON value: names and places on the way to every scalar."""
+    out: list[tuple[str, str]] = []
+    todo = [(v, path)]
+    while todo:
+        x, p = todo.pop()
+        if isinstance(x, _Object):
+            todo += [(c, f"{p}\x1d{squeeze(k)}") for k, c in x] or [("{}", p + "\x1d")]
+        elif isinstance(x, list):
+            todo += [(c, f"{p}\x1c{i}") for i, c in enumerate(x)] or [("[]", p + "\x1c")]
+        else:
+            out.append((p, x if isinstance(x, str) else json.dumps(x)))
+    return out
+
+
 def fields(text: str) -> list[tuple[str, str]] | None:
-    """(name, value) pairs of a JSON object or a ``key: value`` list, else None."""
+    """(name, value) pairs of a JSON object or a ``key: value`` list, else None.
+
+    Names come squeezed.  An object nested too deep for the parser is plain text.
+    """
     t = text.strip()
     if t[:1] == "{":
         try:
-            pairs = json.loads(t, object_pairs_hook=lambda p: ("obj", p), parse_int=str, parse_float=str, parse_constant=str)
+            v = json.loads(t, object_pairs_hook=_Object, parse_int=str, parse_float=str, parse_constant=str)
         except (ValueError, RecursionError):
             return None
-        if isinstance(pairs, tuple):
-            return [(k, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for k, v in pairs[1]]
-        return None
+        return [(p[1:], x) for p, x in _flat(v, "")]
     if ":" not in t:
         return None
-    pieces = [p for p in _SEPARATOR.split(t) if p]
-    if len(pieces) < 2:
-        return None
-    out = []
-    for p in pieces:
-        m = _PIECE.fullmatch(p)
-        if m is None:
-            return None
-        out.append((m.group(1), m.group(2)))
-    return out
+    for sep in _SEPARATORS:
+        pieces = [p for p in sep.split(t) if p]
+        if len(pieces) > 1:
+            found = [_PIECE.fullmatch(p) for p in pieces]
+            if all(found):
+                return [(squeeze(m.group(1)), m.group(2)) for m in found]
+    return None
 
 
 def canonical(text: str | None, label: str | None) -> list[str]:
     """Normalised fields of a record; null and empty texts have one empty field."""
     text = text or ""
     f = fields(text) if text else None
-    pairs = [f"{squeeze(k)}\x1f{squeeze(v)}" for k, v in f] if f else ["\x1f" + squeeze(text)]
+    pairs = [f"{k}\x1f{squeeze(v)}" for k, v in f] if f else ["\x1f" + squeeze(text)]
     return [*pairs, "\x1e" + squeeze(label or "")]
 
 
@@ -141,28 +161,32 @@ def _same_fields() -> F.Column:
     )
 
 
-def groups(records: DataFrame) -> DataFrame:
-    """(fp, keep_id, keep_fields, n_copies): one row per group of equal records, the
-    record with the smallest id kept.  Aggregates map-side, so a hot group is one row
-    per partition in the shuffle."""
-    return records.groupBy("fp").agg(
-        F.min(F.struct("id", "fields")).alias("k"), F.count(F.lit(1)).alias("n_copies")
-    ).select("fp", F.col("k.id").alias("keep_id"), F.col("k.fields").alias("keep_fields"), "n_copies")
-
-
 def copies(records: DataFrame, total: int | None = None) -> DataFrame:
     """(keep_id, copy_id): every record of a group of two or more but its keeper.
 
-    ``total`` is the number of records, where it is known without reading them.
+    ``records`` comes from :func:`keyed`; it is read once.  ``total`` is the number of
+    records, where it is known without reading them.
 
     Null texts equal each other and empty texts; null labels equal empty labels;
-    repeated rows with one id are one record.  Hot groups are joined by broadcast,
-    see :mod:`quernstone.operators.skew`.
+    repeated rows with one id are one record.  Hot groups are salted, see
+    :mod:`quernstone.operators.skew`.
     """
-    multi = records.groupBy("fp").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    records = cut_lineage(records)
+    multi = records.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     heavy = heavy_keys(multi, "fp", "n", records.count() if total is None else total)
     # only members of groups go on; keepers' fields meet them in a second, much smaller join
-    members = cut_lineage(left_join_unique(records, multi.drop("n"), "fp", heavy, "inner"))
-    keepers = members.where("id = keep_id").select("fp", F.col("fields").alias("keep_fields")).dropDuplicates(["fp"])
-    met = left_join_unique(members, keepers, "fp", heavy, "inner")
+    members = cut_lineage(join_unique(records, multi.select("fp"), "fp", heavy, "inner", ["id"]))
+    first = members.groupBy("fp").agg(F.min("id").alias("keep_id"))
+    keepers = join_unique(members, first, "fp", heavy, "inner", ["id"]).where("id = keep_id")
+    keepers = keepers.select("fp", "keep_id", F.col("fields").alias("keep_fields")).dropDuplicates(["fp"])
+    met = join_unique(members, keepers, "fp", heavy, "inner", ["id"])
     return met.where((F.col("id") > F.col("keep_id")) & _same_fields()).select("keep_id", F.col("id").alias("copy_id")).distinct()
+
+
+def groups(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, n_copies): every record of ``records`` that is no copy by ``pairs`` (from
+    :func:`copies`, fields compared), with the number of records it stands for, itself
+    included.  Counts reduce map-side."""
+    n = pairs.groupBy(F.col("keep_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    kept = records.select("id").distinct().join(pairs.select(F.col("copy_id").alias("id")), "id", "left_anti")
+    return kept.join(n, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + 1).alias("n_copies"))

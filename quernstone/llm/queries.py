@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import cuts, dedup, leaks, lookalike, mixing, pii, sentences, splits
-from quernstone.session import table
+from quernstone.session import cut_lineage, table
 
 
 def _redacted(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     """One record per group with its number of copies."""
     queue = table(spark, d, "retrain_queue")
-    kept = dedup.groups(dedup.keyed(queue)).select(F.col("keep_id").alias("id"), "n_copies")
+    kept = dedup.groups(queue.select(F.col("id").cast("string")), cut_lineage(p2_found(spark, d)))
     return kept.join(queue.select("id", "text", "label", "source"), "id")
 
 
