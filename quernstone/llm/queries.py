@@ -80,6 +80,11 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d, True).select("table_name", F.col("id").alias("record_id"), "form")
 
 
+def p4_readable(spark: SparkSession, d: str) -> DataFrame:
+    """Every text cleaned and to read on: Cyrillic words keep or regain their letters."""
+    return _forms(spark, d, True).select("table_name", F.col("id").alias("record_id"), "readable")
+
+
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     return splits.overlaps(table(spark, d, "dataset_examples"))
 
@@ -155,6 +160,7 @@ QUERIES = {
     "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
+    "p4_readable": p4_readable,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p8_found": p8_found,
@@ -165,11 +171,24 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
 }
-_FORMS = lookalike.form_query(
-    "(SELECT 'retrain_queue' AS table_name, id, text AS t FROM retrain_queue UNION ALL SELECT 'dataset_examples', example_id, text FROM dataset_examples)", "table_name, id"
-)
+# The oracle of problem 4 goes character by character with tables of its own, by code point.
+_P4_PAIRS = (
+    "0430a 0435e 043Eo 0440p 0441c 0443y 0445x 0456i 0457ï 0455s 0458j 04BBh 0501d 051Bq 051Dw 04CFl 0475v 0451ë 0410A 0412B 0415E 04173 "
+    "041AK 041CM 041DH 041EO 0420P 0421C 0422T 0423Y 0425X 0406I 0407Ï 0405S 0408J 051AQ 051CW 04C0I 04AEY 0474V 0401Ë "
+    "03BFo 03B9i 03BDv 03C1p 03C5u 0391A 0392B 0395E 0396Z 0397H 0399I 039AK 039CM 039DN 039FO 03A1P 03A4T 03A5Y 03A7X "
+    "0585o 057Du 0570h 0578n 0581g 0555O 054FS 054DU 053CL 0261g 0131i 0251a 217Cl 2160I 2164V 2169X 216CL 216DC 216ED 216FM 2170i 2174v 2179x 217Dc 217Ed 217Fm 2010- 2011-"
+).split()
+_P4_MAP = "MAP {" + ", ".join(f"'{chr(int(x[:4], 16))}': '{x[4:]}'" for x in _P4_PAIRS) + "}"
+_P4_CHAR = f"""CASE WHEN u < 128 THEN c WHEN u BETWEEN 65281 AND 65374 THEN chr(CAST(u - 65248 AS INT)) WHEN u IN (160, 5760, 8239, 8287, 12288) OR u BETWEEN 8192 AND 8202 THEN ' '
+  WHEN u IN (173, 847, 1564, 4447, 4448, 6068, 6069, 12644, 65279, 65440) OR u BETWEEN 6155 AND 6158 OR u BETWEEN 8203 AND 8207 OR u BETWEEN 8234 AND 8238 OR u BETWEEN 8288 AND 8292 OR u BETWEEN 8294 AND 8303 OR u BETWEEN 65024 AND 65039 THEN ''
+  WHEN u BETWEEN 64256 AND 64262 THEN ['ff', 'fi', 'fl', 'ffi', 'ffl', 'st', 'st'][u - 64255] ELSE coalesce(({_P4_MAP})[c], c) END"""
+_P4_SQL = f"""WITH t AS (SELECT 'retrain_queue' AS table_name, id, text AS t FROM retrain_queue WHERE text IS NOT NULL UNION ALL SELECT 'dataset_examples', example_id, text FROM dataset_examples WHERE text IS NOT NULL),
+m AS (SELECT c, {_P4_CHAR} AS x FROM (SELECT DISTINCT c, unicode(c) AS u FROM (SELECT unnest(regexp_extract_all(nfc_normalize(t), '(?s).')) AS c FROM t))),
+mm AS (SELECT map_from_entries(list((c, x))) AS mm FROM m),
+f AS (SELECT table_name, id, trim(regexp_replace(nfc_normalize(array_to_string(list_transform(regexp_extract_all(nfc_normalize(t), '(?s).'), lambda c: mm[c]), '')), '\\s+', ' ', 'g')) AS form,
+  trim(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g'), E' \\t\\r\\n') AS raw FROM t, mm)"""
 
 ORACLES: dict[str, str] = {
-    "p4_found": f"WITH f AS ({_FORMS}) SELECT DISTINCT a.table_name, a.id AS left_id, b.id AS right_id FROM f a JOIN f b ON a.table_name = b.table_name AND a.form = b.form AND a.raw <> b.raw AND a.id < b.id",
-    "p4_forms": f"WITH f AS ({_FORMS}) SELECT table_name, id AS record_id, form FROM f",
+    "p4_found": f"{_P4_SQL} SELECT DISTINCT a.table_name, a.id AS left_id, b.id AS right_id FROM f a JOIN f b ON a.table_name = b.table_name AND a.form = b.form AND a.raw <> b.raw AND a.id < b.id",
+    "p4_forms": f"{_P4_SQL} SELECT table_name, id AS record_id, form FROM f",
 }

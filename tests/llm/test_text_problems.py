@@ -2,7 +2,10 @@
 
 import json
 
+import pytest
+
 from quernstone.llm import cuts, lookalike, pii, sentences
+from quernstone.operators import skew
 
 
 # ------------------------------------------------------------------ problem 1
@@ -277,6 +280,22 @@ def test_same_look(spark):
     assert lookalike.same_look(lookalike.forms(df.limit(0), "id", "text", "t")).count() == 0
     forms = {r.id: r.form for r in lookalike.forms(df, "id", "text", "t", True).collect()}
     assert forms["a"] == forms["b"] == forms["g"] == base and forms["m"] == ""
+    # a form half of whose rows are one variant, salted
+    rows = [(f"h{i:04d}", base) for i in range(400)] + [(f"x{i}", base.replace("e", "е", i + 1)) for i in range(3)]
+    hot = lookalike.forms(spark.createDataFrame(rows, "id string, text string"), "id", "text", "t")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(skew, "ROWS_PER_TASK", 50)
+        assert lookalike.same_look(hot).count() == 400 * 3 + 3
+
+
+def test_forms_and_readable_text(spark):
+    cases = [
+        ("Привeт, мир а cат", "Привет, мир а сат"), ("pаypаl", "paypal"), ("𝐀𝐛ｃ ﾊﾛ", "Abc ハロ"), ("ёлка", "ёлка"), ("Οnе νow", "One vow"), ("10² ①", "10² ①"), ("Ꭺ օ", "A o"), ("и а", "и а"),
+    ]
+    df = spark.createDataFrame([(t, t) for t, _ in cases], "id string, text string")
+    got = {r.id: (r.form, r.readable) for r in lookalike.forms(df, "id", "text", "t", True).collect()}
+    assert [got[t][1] for t, _ in cases] == [r for _, r in cases]
+    assert got["ёлка"][0] == "ëлкa" and got["𝐀𝐛ｃ ﾊﾛ"][0] == "Abc ハロ"
 
 
 # ----------------------------------------------------------------- problem 10
