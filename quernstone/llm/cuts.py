@@ -149,7 +149,8 @@ def limit_lengths(texts: DataFrame) -> DataFrame:
             F.when(F.col("d") > F.col("expected"), -(F.col("d") * F.log(F.col("d") / F.col("expected")) - F.col("d") + F.col("expected"))).otherwise(0.0),
         )
     )
-    # one row per group and length: a table of bounded size, ranked as a whole
+    # One row per group and length with an incomplete ending: at most the number of groups times
+    # the longest limit (4,096 here), whatever the number of texts; ranked as a whole.
     everything = W.partitionBy(F.lit(1))
     ranked = tests.withColumn("rank", F.row_number().over(everything.orderBy("log_p", "table_name", "grp", "len"))).withColumn(
         "m", F.count(F.lit(1)).over(everything)
@@ -186,7 +187,10 @@ def _judge_words(words: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def judged(tables: dict[str, tuple[DataFrame, str, str, str]]) -> DataFrame:
-    """(table_name, record_id, grp, len, is_cut) of every non-null text, each id once.
+    """(table_name, record_id, grp, len, is_cut, evidence) of every non-null text, each id once.
+
+    ``evidence`` of a cut: ``limit`` (an incomplete ending at a significant length),
+    ``mark`` (in the ending itself) or ``word`` (by the counts of its last word).
 
     ``tables``: name -> (table, id column, text column, group column).  Null texts are
     left out; empty and blank texts are whole; a null group is a group of its own.
@@ -200,7 +204,7 @@ def judged(tables: dict[str, tuple[DataFrame, str, str, str]]) -> DataFrame:
         open_texts.withColumn("g", F.coalesce("grp", F.lit("")))
         .join(limits.withColumnRenamed("grp", "g"), ["table_name", "g", "len"], "left")
         .join(verdict, "word", "left")
-        .select("table_name", "record_id", "grp", "len", (F.coalesce("at_limit", F.lit(False)) | F.coalesce("broken", F.lit(False))).alias("is_cut"))
+        .select("table_name", "record_id", "grp", "len", F.when(F.col("at_limit"), "limit").when(F.col("broken"), "word").alias("evidence"))
     )
-    rest = texts.where("kind <> 'open'").select("table_name", "record_id", "grp", "len", (F.col("kind") == "cut").alias("is_cut"))
-    return opened.unionByName(rest)
+    rest = texts.where("kind <> 'open'").select("table_name", "record_id", "grp", "len", F.when(F.col("kind") == "cut", "mark").alias("evidence"))
+    return opened.unionByName(rest).withColumn("is_cut", F.col("evidence").isNotNull())

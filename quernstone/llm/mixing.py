@@ -9,7 +9,8 @@ the total budget, so at every point of it the sources' shares follow the weights
 Both running sums are two-level: the order is cut into buckets whose number grows
 with the data, bucket totals are summed in a table of bounded size, and only rows
 of one bucket meet in one task.  A source that holds a third of all rows spreads
-over all buckets.
+over all buckets.  The buckets of the global order are those of a range sort by
+virtual finish time, so they hold about equally many rows whatever the budget.
 """
 
 from __future__ import annotations
@@ -95,6 +96,7 @@ class Mix:
         limit, weight, self.n_docs, cap_total = self.sources.agg(
             F.min(F.col("src_tokens") * F.col("cap") / F.col("share")), F.sum("share"), F.sum("n_available"), F.sum(F.col("src_tokens") * F.col("cap")),
         ).first()
+        self.limit = limit or 0
         self.empty = limit is None
         if self.empty:
             limit = weight = cap_total = 0
@@ -117,11 +119,10 @@ class Mix:
         copy = copy.withColumn("finish", (F.col("copy_no") * F.col("src_tokens") + F.col("cum")) / F.col("target_share"))
         if self.horizon is not None:
             copy = copy.where(F.col("finish") <= F.lit(float(self.horizon)) * 1.000001)
-            top, rows = float(self.horizon), 4 * n
-        else:
-            top, rows = (copy.agg(F.max("finish"), F.count(F.lit(1))).first() if n else (1.0, 0))
-        b2 = _buckets(rows)
-        copy = copy.withColumn("b2", F.least(F.floor(F.col("finish") / F.lit(float(top or 1.0)) * b2), F.lit(b2)).cast("int"))
+        # the range sort is cut off from its sampling: a bucket's number must not change when a task runs again
+        rows = self.sources.agg(F.sum(F.col("n_available") * F.col("cap"))).first()[0] or 0
+        sorted_ = copy.repartitionByRange(_buckets(rows), "finish", "source", "doc_id", "copy_no")
+        copy = cut_lineage(sorted_.withColumn("b2", F.spark_partition_id()))
         ordered = running_sum(copy.withColumn("_all", F.lit(1)), ["_all"], "b2", ["finish", "source", "doc_id", "copy_no"], "tokens", "position")
         return ordered.where(F.col("position") <= self.budget).select("doc_id", "source", "copy_no", "tokens", "finish", "position")
 
@@ -130,13 +131,18 @@ class Mix:
         return self.stream().groupBy("doc_id", "source").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).cast("int").alias("repeats"))
 
     def shares(self) -> DataFrame:
-        """One row per target: target and actual share, documents, tokens and repeats used."""
+        """One row per target: target and actual share, documents, tokens and repeats used, and
+        whether the source is the one that limits the default budget (all its documents go in
+        as often as they may)."""
+        reach = self.sources.select("source", (F.col("src_tokens") * F.col("cap") / F.col("share")).alias("_reach"))
+        limits = F.coalesce(F.col("_reach") <= F.lit(float(self.limit)), F.lit(False))
         used = self.chosen().groupBy("source").agg(
             F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("tokens") * F.col("repeats")).alias("n_tokens"), F.max("repeats").alias("repeats_used")
         )
         total = used.agg(F.sum("n_tokens").alias("_total"))
         return (
             self.targets.join(used, "source", "left")
+            .join(reach, "source", "left")
             .join(F.broadcast(total), F.lit(True), "left")  # one row
             .select(
                 "source", "target_share", "max_repeats",
@@ -144,5 +150,6 @@ class Mix:
                 F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
                 F.coalesce("repeats_used", F.lit(0)).alias("repeats_used"),
                 F.round(F.coalesce(F.col("n_tokens") / F.col("_total"), F.lit(0.0)), 6).alias("actual_share"),
+                limits.alias("limits_budget"),
             )
         )

@@ -61,7 +61,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return (
         _judged(spark, d)
         .groupBy("table_name", F.col("grp").alias("source"))
-        .agg(F.count(F.lit(1)).alias("n_texts"), F.count(F.when(F.col("is_cut"), 1)).alias("n_cut"))
+        .agg(F.count(F.lit(1)).alias("n_texts"), F.count(F.when(F.col("is_cut"), 1)).alias("n_cut"), *[F.count(F.when(F.col("evidence") == e, 1)).alias(f"n_{e}") for e in ("limit", "mark", "word")])
         .withColumn("cut_rate", F.round(F.col("n_cut") / F.col("n_texts"), 6))
     )
 
@@ -130,8 +130,8 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The mix as one globally ordered stream."""
-    return _mix(spark, d).stream()
+    """The mix as one globally sorted stream."""
+    return _mix(spark, d).stream().orderBy("position")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -168,5 +168,6 @@ def test_mix(spark):
     chosen = m.chosen().collect()
     assert all(1 <= r.repeats <= caps[r.source] for r in chosen) and len({r.doc_id for r in chosen}) == len(chosen)
     over = {r.source: r for r in mixing.Mix(df, targets, budget=10**9).shares().collect()}
+    assert {s for s, r in shares.items() if r.limits_budget} == {min(("big", "mid", "tiny"), key=lambda s: sum(r.tokens for r in m.tokens.where(F.col("source") == s).collect()) * caps[s] / {"big": 0.5, "mid": 0.3, "tiny": 0.15}[s])}
     assert over["tiny"].repeats_used == 3 and over["big"].n_docs == 1000
     assert mixing.Mix(df.limit(0), targets).chosen().count() == 0 and mixing.Mix(df, targets.limit(0)).shares().count() == 0

@@ -257,7 +257,9 @@ def test_cut_limits_and_words(spark):
     mid = [("m1", "the quiet archive stayed. Because one quiet archi", "s"), ("m2", "the harbor moved. The window moved the", "s")]
     rows = [*whole, *heads, *limit, *mid, ("n", None, "s"), ("e", "", None), ("e", "", None)]
     df = spark.createDataFrame(rows, "id string, text string, grp string").withColumn("len", __import__("pyspark").sql.functions.lit("clash"))
-    out = {r.record_id: r.is_cut for r in cuts.judged({"t": (df, "id", "text", "grp")}).collect()}
+    rows = cuts.judged({"t": (df, "id", "text", "grp")}).collect()
+    out = {r.record_id: r.is_cut for r in rows}
+    assert {r.evidence for r in rows if r.record_id in ("l1", "m1")} == {"limit", "word"} and all(r.is_cut == (r.evidence is not None) for r in rows)
     assert "n" not in out and out["e"] is False
     assert all(out[i] for i, _, _ in limit) and out["m1"] and out["m2"]
     assert not any(out[i] for i, _, _ in whole) and not any(out[i] for i, _, _ in heads)
