@@ -3,7 +3,7 @@
 Order: cut, NFKC, invisible characters, look-alike letters, spaced-out letters,
 nested encodings (up to three rounds), invisible characters again, leet.  Steps
 that native columns can express exist there as well (``functions.text``); a text
-that no step could change never leaves the JVM (:func:`normalized`).
+that no step could change never leaves the JVM (:func:`may_change`).
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quernstone.functions.text import ZERO_WIDTH
+from quernstone.functions.text import URL_KEYWORDS as URL_WORDS
+from quernstone.functions.text import ZERO_WIDTH, b64_decode, hex_decode
 
 # Fixed values.
 MAX_INPUT, MAX_DECODED, MAX_GROWTH, ROUNDS = 500_000, 100_000, 10, 3
@@ -34,8 +35,8 @@ LOOKALIKES = {
 LEET = dict(zip("01345678@$!", "oieasgtbasi"))
 LEET_WORDS = ("ignore", "instruction", "system", "jailbreak", "prompt", "previous", "disregard", "bypass", "dan", "roleplay", "unrestricted")
 ROT13_WORDS = LEET_WORDS[:9]
-URL_WORDS = ("ignore", "instruction", "system", "jailbreak", "prompt", "previous")
-
+ROT13_LOWER, ROT13_OF = "abcdefghijklmnopqrstuvwxyz", "nopqrstuvwxyzabcdefghijklm"
+# Patterns of encoded runs.
 _INVISIBLE = re.compile(f"[{ZERO_WIDTH}]")
 _RUN = re.compile(r"\b(?:\w\s+){3,}\w\b")
 _SINGLE = re.compile(r"\b\w\b")
@@ -185,15 +186,30 @@ def _series(s: pd.Series) -> pd.Series:
 
 
 def may_change(c: Column) -> Column:
-    """Native test that no text passes which a step could change: anything but ASCII
-    letters, digits and plain marks, an encoded-looking run, spaced letters or leet."""
-    return (
-        c.rlike(r"[^\x00-\x7f]|%[0-9a-fA-F]{2}|[A-Za-z0-9+/]{8,}|[0-9@$!]")
-        | c.rlike(r"\b\w\s+\w\s+\w\s+\w\b")
-        | (F.length(c) >= 8)
+    """Native test that every text passes which a step could change: a character outside
+    ASCII, a percent escape, an encoded-looking run, spaced letters, a leet token, or a
+    telling word once rotated."""
+    return F.coalesce(
+        c.rlike(r"[^\x00-\x7f]")
+        | c.rlike(r"%[0-9a-fA-F]{2}")
+        | (c.rlike(r"[A-Za-z0-9+/]{8,}") & _encoded_like(c))
+        | c.rlike(r"\b\w[\s\x1c-\x1f]+\w[\s\x1c-\x1f]+\w[\s\x1c-\x1f]+\w\b")
+        | c.rlike(r"[0-9@$!][A-Za-z]|[A-Za-z][0-9@$!]")
+        | F.translate(F.lower(c), ROT13_LOWER, ROT13_OF).rlike("|".join(ROT13_WORDS))
+        | (F.length(c) > MAX_INPUT),
+        F.lit(False),
     )
 
 
+def _encoded_like(c: Column) -> Column:
+    """Some run of base64 or hex letters stands for valid text of four characters or more."""
+    b64 = F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9+/]{8,}={0,2})"), F.lit(1))
+    hexes = F.regexp_extract_all(c, F.lit(r"\b((?:[0-9a-fA-F]{2}){6,})\b"), F.lit(1))
+    return F.exists(b64, lambda r: b64_decode(F.regexp_replace(r, "=+$", "")).isNotNull()) | F.exists(hexes, lambda r: hex_decode(r).isNotNull())
+
+
 def normalized(c: Column) -> Column:
-    """Normal form; needs a running session.  Arrow batches, one function call per text."""
-    return F.pandas_udf(_series, StringType())(c)
+    """Normal form; needs a running session.  Texts that no step could change reach Python as
+    nulls, so they cost neither transfer nor work there.  Arrow batches, one call per text."""
+    gate = may_change(c)
+    return F.when(gate, F.pandas_udf(_series, StringType())(F.when(gate, c))).otherwise(c)

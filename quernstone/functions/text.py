@@ -16,7 +16,8 @@ COMMON_WORDS = (
     "did its let put say she too use hello world please help thanks today ignore instruction system prompt previous summarize capital france document "
     "context и в не на я что тот быть с а весь это как она по но они к у ты привет мир пожалуйста спасибо сегодня игнорируй инструкции система промпт документ"
 ).split()
-URL_KEYWORDS = ("ignore", "instruction", "system", "prompt", "jailbreak", "previous")
+#: words that make a decoded text telling
+URL_KEYWORDS = ("ignore", "instruction", "system", "jailbreak", "prompt", "previous")
 ROT13_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 ROT13_TO = "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm"
 

@@ -80,14 +80,23 @@ def detection_rows(results: DataFrame, decisions: DataFrame) -> DataFrame:
     return results.where("level <> 'allow'").select("request_id", "layer", "level", "confidence", F.to_json("triggers").alias("trigger_tokens")).unionByName(own)
 
 
-def blocked_response(decisions: DataFrame, cfg: EngineConfig | None = None) -> DataFrame:
-    """Status, headers (their prefix is a parameter) and body of blocked requests."""
+def blocked_response(decisions: DataFrame, cfg: EngineConfig | None = None, results: DataFrame | None = None) -> DataFrame:
+    """Status, headers (their prefix is a parameter) and body of blocked requests; with ``results``
+    the body holds the results of all layers, in their order."""
     prefix = (cfg or EngineConfig()).header_prefix
-    return decisions.where("decision = 'block'").select(
+    if results is not None:
+        row = F.struct("ordinal", "layer", "level", "confidence", "triggers")
+        per = results.join(decisions.where("decision = 'block'").select("request_id"), "request_id", "left_semi").groupBy("request_id").agg(F.sort_array(F.collect_list(row)).alias("_r"))
+        layers = F.transform("_r", lambda r: F.struct(r.layer.alias("layer"), r.level.alias("level"), r.confidence.alias("confidence"), r.triggers.alias("triggers")))
+        with_layers = decisions.join(per, "request_id", "left").withColumn("layer_results", layers)
+        error = F.struct(F.lit("request_blocked").alias("type"), "decision", "confidence", "triggers", "layer_results")
+    else:
+        with_layers, error = decisions, F.struct(F.lit("request_blocked").alias("type"), "decision", "confidence", "triggers")
+    return with_layers.where("decision = 'block'").select(
         "request_id",
         F.lit(403).alias("status"),
         F.create_map(F.lit(f"{prefix}-decision"), F.col("decision"), F.lit(f"{prefix}-confidence"), F.format_number("confidence", 4)).alias("headers"),
-        F.to_json(F.struct(F.struct(F.lit("request_blocked").alias("type"), "decision", "confidence", "triggers").alias("error"))).alias("body"),
+        F.to_json(F.struct(error.alias("error"))).alias("body"),
     )
 
 
@@ -99,7 +108,39 @@ def body_error(body: Column) -> Column:
     return F.when(v.isNull(), "invalid json").when(~kind.startswith("OBJECT"), "body must be an object").when(m.isNull() | ~m.startswith("ARRAY"), "messages must be a list")
 
 
-def upstream_error(status: Column, body: Column) -> Column:
-    """Body passed on from a failing upstream: a JSON object as it is, else text cut to 2,000."""
+def completion_error(body: Column) -> Column:
+    """Why a completion request's body is refused: not JSON, or no object with a prompt; null if fine."""
+    v = F.try_parse_json(body)
+    has = F.array_contains(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), "prompt")
+    return F.when(v.isNull(), "invalid JSON body").when(~F.coalesce(has, F.lit(False)), "prompt is required")
+
+
+def request_error(message: Column, request_id: Column, status: Column) -> Column:
+    """struct<status, body> of a request that is refused (400) or on which the chain failed (503)."""
+    kind = F.when(status < 500, "invalid_request_error").otherwise("proxy_error")
+    body = F.to_json(F.struct(F.struct(message.alias("message"), kind.alias("type")).alias("error"), request_id.alias("request_id")))
+    return F.struct(status.alias("status"), body.alias("body"))
+
+
+def responses(requests: DataFrame, decisions: DataFrame, cfg: EngineConfig | None = None, completion_paths: tuple = ("/v1/completions",)) -> DataFrame:
+    """(request_id, status, body) of every request (id, path, request_body[, upstream_status,
+    response_body]): refused bodies 400, requests without a decision 503 (the chain failed),
+    blocked ones 403, failing upstreams with their own status and what they said, else 200 and
+    the upstream's body."""
+    error = F.when(F.col("path").isin(*completion_paths), completion_error(F.col("request_body"))).otherwise(body_error(F.col("request_body")))
+    r = requests.withColumnRenamed("id", "request_id").withColumn("_e", error)
+    j = r.join(decisions.select("request_id", "decision"), "request_id", "left").join(blocked_response(decisions, cfg).select("request_id", F.col("body").alias("_blocked")), "request_id", "left")
+    status = F.coalesce(F.col("upstream_status"), F.lit(200)) if "upstream_status" in requests.columns else F.lit(200)
+    said = F.col("response_body") if "response_body" in requests.columns else F.lit(None).cast("string")
+    refused, failed = request_error(F.col("_e"), F.col("request_id"), F.lit(400)), request_error(F.lit("request pipeline failed"), F.col("request_id"), F.lit(503))
+    ok = F.struct(status.alias("status"), F.when(status >= 400, upstream_error(status, said, F.col("request_id"))).otherwise(said).alias("body"))
+    out = F.when(F.col("_e").isNotNull(), refused).when(F.col("decision").isNull(), failed).when(F.col("decision") == "block", F.struct(F.lit(403).alias("status"), F.col("_blocked").alias("body"))).otherwise(ok)
+    return j.select("request_id", out.alias("r")).select("request_id", "r.status", "r.body")
+
+
+def upstream_error(status: Column, body: Column, request_id: Column) -> Column:
+    """Body passed on from a failing upstream: a JSON object as it is, else its text, cut to
+    2,000 characters, within an error."""
     is_obj = F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT")
-    return F.when(status >= 400, F.when(F.coalesce(is_obj, F.lit(False)), body).otherwise(F.left(body, F.lit(2000))))
+    text = F.to_json(F.struct(F.coalesce(F.left(body, F.lit(2000)), F.lit("")).alias("error"), request_id.alias("request_id")))
+    return F.when(status >= 400, F.when(F.coalesce(is_obj, F.lit(False)), body).otherwise(text))

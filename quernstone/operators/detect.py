@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.config import EngineConfig
-from quernstone.functions.text import gibberish_score, let, level_for
+from quernstone.functions.text import gibberish_score, let, level_for, perplexity_band, py_strip
 from quernstone.sources.rules import Rule, needed_literals
 
 # Trust weights by tag.
@@ -61,7 +63,9 @@ def score_segments(segments: DataFrame, rules: list[Rule], text: str = "content"
     cfg = cfg or EngineConfig()
     t, tag = F.col(text), F.col("tag")
     out = segments.withColumn("_m", rule_matches(t, rules)).withColumn("rule_score", rule_score(F.col("_m"), tag))
-    raw = gibberish_score(t) if cfg.perplexity_on else F.lit(0.0)
+    # a pluggable scorer has added its confidence already (:func:`perplexity_scorer`)
+    own = F.col("ppl_confidence") if "ppl_confidence" in segments.columns else gibberish_score(t)
+    raw = own if cfg.perplexity_on else F.lit(0.0)
     out = out.withColumn("_p", raw * _by_tag(tag, PPL_WEIGHT))
     out = out.withColumn("ppl_score", F.when(F.col("_p") > 0.3, F.col("_p")).otherwise(0.0))
     r, p = F.col("rule_score"), F.col("ppl_score")
@@ -102,6 +106,51 @@ def fold_requests(scored: DataFrame, cfg: EngineConfig | None = None) -> DataFra
     )
 
 
+# ------------------------------------------------------------------ perplexity
+def model_perplexity(df: DataFrame, load: Callable[[], Callable[[list[str]], list[float]]], text: str = "content", min_chars: int = 60, batch: int = 8) -> DataFrame:
+    """Adds ``ppl_confidence``: the band of a language model's perplexity, per text.
+
+    ``load`` runs once per worker and gives a function from texts to perplexities.  Texts
+    shorter than ``min_chars`` (and null) score 0 and never reach the model; where the model
+    cannot be loaded, fails, or gives another number of values, the gibberish score stands in.
+    """
+    t = F.col(text)
+    long_enough = F.coalesce(F.length(py_strip(t)) >= min_chars, F.lit(False))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            model = load()
+        except Exception:  # any failure of foreign model code falls back
+            model = None
+        for b in batches:
+            out: list[float | None] = [None] * len(b)
+            asked = [i for i, x in enumerate(b) if isinstance(x, str)]
+            for k in range(0, len(asked) if model else 0, batch):
+                part = asked[k : k + batch]
+                try:
+                    got = list(model([b.iloc[i] for i in part]))
+                except Exception:
+                    got = []
+                if len(got) == len(part):
+                    for i, x in zip(part, got):
+                        out[i] = float(x)
+            yield pd.Series(out, dtype="float64")
+
+    scored = df.withColumn("_ppl", F.pandas_udf(run, "double")(F.when(long_enough, t)))
+    ppl = F.when(F.isnan("_ppl"), None).otherwise(F.col("_ppl"))
+    return scored.withColumn("ppl_confidence", F.when(~long_enough, 0.0).when(ppl.isNull(), gibberish_score(t)).otherwise(perplexity_band(ppl))).drop("_ppl")
+
+
+def perplexity_scorer(enabled: bool = True, load: Callable | None = None, cfg: EngineConfig | None = None) -> Callable[[DataFrame, str], DataFrame] | None:
+    """The scorer to use, as a function that adds ``ppl_confidence`` to segments: none if switched
+    off, the model's if one can be loaded, else the gibberish score."""
+    if not enabled:
+        return None
+    if load is not None:
+        return lambda df, text="content": model_perplexity(df, load, text, (cfg or EngineConfig()).perplexity_min_chars)
+    return lambda df, text="content": df.withColumn("ppl_confidence", gibberish_score(F.col(text)))
+
+
 # ------------------------------------------------------------------ classifier
 def softmax(logits: Column) -> Column:
     e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
@@ -230,7 +279,28 @@ def top_words(words: Column, k: int = 10) -> Column:
 
 
 def token_attribution(tokens: Column, scores: Column, k: int = 10) -> Column:
-    return top_words(words_of_subwords(tokens, min_max(scores)), k)
+    """The best words of subword tokens and their scores; lists of different length raise."""
+    same = F.size(tokens) == F.size(scores)
+    checked = F.when(same, scores).otherwise(F.raise_error("tokens and scores must have the same length").cast("array<double>"))
+    return F.when(tokens.isNotNull() & scores.isNotNull(), top_words(words_of_subwords(tokens, min_max(checked)), k))
+
+
+METHODS = ("attention", "integrated_gradients")
+
+
+def attribute(df: DataFrame, method: str = "attention", k: int = 10) -> DataFrame:
+    """Adds ``attribution`` by one of ``METHODS`` to rows of subword ``tokens`` with ``attention``
+    and ``mask`` (attention), or ``coefficients`` and ``inputs`` per token (integrated gradients of
+    a linear model); another method raises."""
+    if method not in METHODS:
+        raise ValueError(f"unknown attribution method {method!r}")
+    scores = cls_attention(F.col("attention"), F.col("mask")) if method == "attention" else linear_gradients(F.col("coefficients"), F.col("inputs"))
+    return df.withColumn("method", F.lit(method)).withColumn("attribution", token_attribution(F.col("tokens"), scores, k))
+
+
+def rounded_turns(scores: Column, previews: Column, places: int = 4, chars: int = 80) -> Column:
+    """array<struct<score,preview>> for a report: scores rounded, previews cut."""
+    return F.transform(F.arrays_zip(scores.alias("s"), previews.alias("p")), lambda z: F.struct(F.round(z["s"], places).alias("score"), F.left(z["p"], F.lit(chars)).alias("preview")))
 
 
 def cls_attention(attention: Column, mask: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quernstone.operators.ranks import running_totals
+
 
 def predicted(decision: Column, confidence: Column, sanitize_from: float = 0.5) -> Column:
     """block and exclude are 1; sanitize is 1 from a confidence on; all else 0."""
@@ -35,43 +38,38 @@ def per_source(df: DataFrame, source: str = "source", pred: str = "pred") -> Dat
     return df.groupBy(source).agg(n.alias("n"), hit.alias("flagged"), F.round(hit / n, 4).alias("rate"))
 
 
-def rank_percentiles(df: DataFrame, value: str, percents: tuple = (50, 95, 99), by: list[str] | None = None) -> DataFrame:
+def rank_percentiles(df: DataFrame, value: str, percents: tuple = (50, 95, 99), by: list[str] | None = None, median: bool = False) -> DataFrame:
     """Percentile p = the value at rank min(floor(n * p / 100), n - 1) of the sorted values, with
     n, mean, min and max.
 
-    Works on counts of distinct values, not on sorted rows: a hot group is as many rows
-    as it has different values.  Nulls are left out.
+    Works on counts of distinct values, not on sorted rows; the running count is taken
+    in two levels, so neither a hot group nor one without ``by`` meets in one task.
+    Nulls are left out.  ``median`` adds the mean of the two middle values.
     """
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    upto = F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).withColumn("total", F.sum("c").over(w))
+    upto = running_totals(counts, [F.col(value)], {"upto": F.col("c")}, by)
+    totals = counts.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.sum("c").alias("total"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True))
+    ranked = upto.join(totals, same) if by else upto.join(F.broadcast(totals), F.lit(True))  # one row
     want = lambda p: F.least(F.floor(F.col("total") * p / 100), F.col("total") - 1)
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(value)))
+    middle = [F.round((at(F.floor((F.col("total") - 1) / 2)) + at(F.floor(F.col("total") / 2))) / 2, 4).alias("median")] if median else []
     return ranked.groupBy(*by).agg(
+        *middle,
         F.max("total").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.max("total"), 4).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
-        *[F.min(F.when(F.col("upto") > want(p), F.col(value))).alias(f"p{p}") for p in percents],
+        *[at(want(p)).alias(f"p{p}") for p in percents],
     )
 
 
-def average_precision(df: DataFrame, score: str = "score", label: str = "label", order: str = "pos", buckets: int = 64) -> DataFrame:
+def average_precision(df: DataFrame, score: str = "score", label: str = "label", order: str = "pos") -> DataFrame:
     """Area under the precision-recall curve by steps; ties stay in input order.
 
-    The global order is built in two levels: score ranges (by approximate quantiles)
-    whose totals are summed first, then rows within one range.
+    Running counts over the global order are taken in two levels
+    (:mod:`quernstone.operators.ranks`); ``order`` spreads equal scores.  Null scores are left out.
     """
     d = df.where(F.col(score).isNotNull()).select(F.col(score).alias("s"), F.when(F.col(label) == 1, 1).otherwise(0).alias("y"), F.col(order).alias("o"))
-    cuts = d.agg(F.percentile_approx("s", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000)).first()[0] or []
-    edges = sorted(set(cuts), reverse=True)
-    bucket = F.lit(0)
-    for e in edges:  # number of edges above the score: constant, at most `buckets`
-        bucket = bucket + F.when(F.col("s") < e, 1).otherwise(0)
-    d = d.withColumn("b", bucket)
-    sums = d.groupBy("b").agg(F.sum("y").alias("ty"), F.count(F.lit(1)).alias("tn"))
-    prior = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)  # at most `buckets` rows
-    base = sums.select("b", F.coalesce(F.sum("ty").over(prior), F.lit(0)).alias("by"), F.coalesce(F.sum("tn").over(prior), F.lit(0)).alias("bn"))
-    inside = W.partitionBy("b").orderBy(F.desc("s"), "o").rowsBetween(W.unboundedPreceding, 0)
-    ranked = d.join(F.broadcast(base), "b").withColumn("tp", F.col("by") + F.sum("y").over(inside)).withColumn("n", F.col("bn") + F.count(F.lit(1)).over(inside))
+    ranked = running_totals(d, [F.desc("s"), F.asc("o")], {"tp": F.col("y"), "n": F.lit(1)})
     return ranked.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("n_pos"),
         F.round(F.coalesce(F.sum(F.when(F.col("y") == 1, F.col("tp") / F.col("n"))), F.lit(0.0)) / F.greatest(F.coalesce(F.sum("y"), F.lit(0)), F.lit(1)), 6).alias("pr_auc"),

@@ -3,12 +3,16 @@ were delivered again count once (``current``)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.config import LEVELS
 from quernstone.functions.text import severity_of
+from quernstone.session import cut_lineage
 
 
 def current(df: DataFrame, id_col: str = "id") -> DataFrame:
@@ -137,6 +141,28 @@ def latency_from_exposition(lines: DataFrame, name: str = "pipeline_layer_durati
     return counts.join(sums, label, "left").select(label, F.round(F.coalesce("s", F.lit(0.0)) / F.col("n") * 1000, 4).alias("mean_ms"))
 
 
+def with_top_tokens(attributions: DataFrame, top: int = 5) -> DataFrame:
+    """Adds ``top_tokens``: the first tokens of the list, in its order; empty for broken lists."""
+    v = F.try_parse_json("tokens")
+    v = F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+    items = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda i: F.schema_of_variant(i).startswith("OBJECT"))
+    names = F.transform(F.slice(items, 1, top), lambda i: F.coalesce(F.try_variant_get(i, "$.token", "string"), F.lit("")))
+    return attributions.withColumn("top_tokens", F.coalesce(F.array_join(names, ", "), F.lit("")))
+
+
+def counters(requests: DataFrame, detections: DataFrame, names: tuple[str, str, str, str] = ("requests_total", "detections_total", "upstream_errors_total", "canary_hits_total")) -> DataFrame:
+    """(name, labels, n) of all counters: requests by path, method and decision, detections by
+    level and layer, upstream errors by status (column ``upstream_status``, where there is one),
+    canary hits."""
+    label = lambda *cols: F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in cols])
+    out = requests.groupBy(F.lit(names[0]).alias("name"), label("path", "method", "decision").alias("labels")).agg(F.count(F.lit(1)).alias("n"))
+    out = out.unionByName(detections.groupBy(F.lit(names[1]).alias("name"), label("level", "layer").alias("labels")).agg(F.count(F.lit(1)).alias("n")))
+    if "upstream_status" in requests.columns:
+        bad = requests.where("upstream_status >= 400")
+        out = out.unionByName(bad.groupBy(F.lit(names[2]).alias("name"), F.concat(F.lit('code="'), F.col("upstream_status").cast("string"), F.lit('"')).alias("labels")).agg(F.count(F.lit(1)).alias("n")))
+    return out.unionByName(requests.agg(F.lit(names[3]).alias("name"), F.lit("").alias("labels"), F.count(F.when(F.col("canary_hit"), 1)).alias("n")))
+
+
 BUCKETS_MS = (5, 10, 25, 50, 100, 250, 500, 1000, 2500)
 
 
@@ -158,37 +184,58 @@ def traffic(df: DataFrame, width: str = "1 day", at: str = "created_at") -> Data
     return df.groupBy(F.window(at, width).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-def alert_cooldown(events: DataFrame, seconds: int = 30, min_level: str = "block", at: str = "created_at") -> DataFrame:
-    """Alerts that fire: of the events at or above ``min_level``, in order of time, those at
-    least ``seconds`` after the last one that fired.
+EVENTS_PER_PARTITION = 200_000
+
+
+def alert_cooldown(events: DataFrame, seconds: int = 30, min_level: str = "block", at: str = "created_at", id_col: str = "id") -> DataFrame:
+    """(fired_at, id): of the events at or above ``min_level``, in order of time and id,
+    those at least ``seconds`` after the last one that fired.
 
-    Whether an alert fires depends on the one that fired before, so this is a fold,
-    not a window.  It runs in two steps: events more than ``seconds`` apart start
-    afresh whatever came before, so a gap cuts the order into runs; only the events of
-    one run meet, as times.  The first event of each run fires.
+    Whether an alert fires depends on the one that fired before.  The events are
+    range-sorted by time; every partition is read as a stream that remembers only the last
+    time it fired at.  What a partition begins with is the last time of those before
+    it: all start with what is known, in parallel, and start again as long as some beginning
+    has changed, which ends after two or three rounds, as runs soon meet, and after as
+    many rounds as there are partitions at most.  Only one time per partition comes to the driver.
+    Events without a time never fire; an unknown ``min_level`` means exclude.
     """
-    levels = severity_of(F.lit(min_level))
-    ok = events.where(F.coalesce(severity_of(F.col("level")), F.lit(0)) >= F.coalesce(levels, F.lit(3)))
-    # one candidate per second of the clock can fire at most; that bounds what is ordered
-    ticks = ok.where(F.col(at).isNotNull()).groupBy(F.date_trunc("second", at).alias("tick")).agg(F.min(F.struct(F.col(at).alias("at"), "id")).alias("e"))
-    day = F.date_trunc("day", "tick")
-    by_day = W.partitionBy(day).orderBy("tick")
-    gaps = ticks.withColumn("prev", F.lag("e.at").over(by_day))
-    firsts = gaps.groupBy(day.alias("day")).agg(F.min("e.at").alias("first_at"), F.max("e.at").alias("last_at"))
-    before = firsts.withColumn("last_before", F.lag("last_at").over(W.orderBy("day"))).select("day", "last_before")
-    runs = gaps.withColumn("day", day).join(before, "day").withColumn("prev", F.coalesce("prev", "last_before"))
-    secs = lambda c: F.unix_micros(c) / 1e6
-    starts = F.when(F.col("prev").isNull() | (secs(F.col("e.at")) - secs(F.col("prev")) >= seconds), 1).otherwise(0)
-    runs = runs.withColumn("start", starts)
-    in_day = F.sum("start").over(W.partitionBy("day").orderBy("tick"))
-    runs = runs.withColumn("r", in_day)
-    per_day = runs.groupBy("day").agg(F.sum("start").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("day", "base")
-    runs = runs.join(per_day, "day").withColumn("run", F.col("r") + F.col("base"))
-    folded = runs.groupBy("run").agg(F.sort_array(F.collect_list(F.struct(F.col("e.at").alias("at"), F.col("e.id").alias("id")))).alias("ev"))
-
-    def step(acc: Column, e: Column) -> Column:
-        fresh = (F.size(acc) == 0) | (secs(e["at"]) - secs(F.element_at(acc, -1)["at"]) >= seconds)
-        return F.when(fresh, F.concat(acc, F.array(e))).otherwise(acc)
-
-    kept = F.aggregate("ev", F.array().cast("array<struct<at:timestamp,id:string>>"), step)
-    return folded.select(F.explode(kept).alias("k")).select(F.col("k.at").alias("fired_at"), F.col("k.id").alias("id"))
+    floor = F.coalesce(severity_of(F.lit(min_level)), F.lit(3))
+    ok = events.where((F.coalesce(severity_of(F.col("level")), F.lit(0)) >= floor) & F.col(at).isNotNull())
+    short = ok.select(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(id_col).cast("string").alias("id"))
+    n = max(1, min(2_000, short.count() // EVENTS_PER_PARTITION))
+    # cut off from the sampling of the range sort, so that a partition keeps its rows
+    parts = cut_lineage(short.repartitionByRange(n, "t", "id").sortWithinPartitions("t", "id").withColumn("p", F.spark_partition_id()))
+    gap = seconds * 1_000_000
+
+    def fired(begin: dict[int, int]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last: int | None = None
+            first = True
+            for b in batches:
+                times = b.column(0).to_numpy(zero_copy_only=False)
+                keep, i = [], 0
+                if first and len(times):
+                    first, last = False, begin.get(b.column(2)[0].as_py())
+                while i < len(times):
+                    if last is not None and times[i] - last < gap:
+                        i = int(np.searchsorted(times, last + gap))
+                        continue
+                    keep.append(i)
+                    last = int(times[i])
+                    i += 1
+                yield b.take(pa.array(keep, pa.int64()))
+
+        return parts.mapInArrow(run, "t bigint, id string, p int")
+
+    begin: dict[int, int] = {}
+    while True:
+        last = {r.p: r.t for r in fired(begin).groupBy("p").agg(F.max("t").alias("t")).collect()}
+        known: dict[int, int] = {}
+        latest = None
+        for p in range(parts.rdd.getNumPartitions()):
+            if latest is not None:
+                known[p] = latest
+            latest = last.get(p, latest)
+        if known == begin:
+            return fired(begin).select(F.timestamp_micros("t").alias("fired_at"), "id")
+        begin = known

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quernstone.config import EngineConfig
 from quernstone.functions.text import py_strip
+from quernstone.operators.ranks import running_totals
+from quernstone.session import cut_lineage
 
 # Spellings of the two labels.
 COLLECT_LABELS = {"injection": ("injection", "malicious", "attack", "1", "unsafe"), "benign": ("benign", "safe", "clean", "0", "ok")}
@@ -41,12 +43,13 @@ def wants_borderline(decision: Column, confidence: Column, cfg: EngineConfig | N
 
 def collect_candidates(decisions: DataFrame, segments: DataFrame, cfg: EngineConfig | None = None) -> DataFrame:
     """(request_id, idx, text, decision, confidence): up to ``max_fan_out`` non-system segments of
-    each borderline request, in order."""
+    each borderline request, in order; segments of requests delivered again count once."""
     cfg = cfg or EngineConfig()
     wanted = decisions.where(wants_borderline(F.col("decision"), F.col("confidence"), cfg)).select("request_id", "decision", "confidence")
-    s = segments.where("tag <> 'SYS'").withColumn("text", candidate_text(F.col("content"), cfg)).where("text is not null")
-    firsts = s.groupBy("request_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("idx", "text"))), 1, cfg.max_fan_out).alias("x"))
-    return firsts.join(wanted, "request_id").select("request_id", F.explode("x").alias("s"), "decision", "confidence").select("request_id", "s.idx", "s.text", "decision", "confidence")
+    # only segments of wanted requests go on, and of those the first few: a top-k per request, no list of texts
+    s = segments.where("tag <> 'SYS'").join(wanted, "request_id").dropDuplicates(["request_id", "idx"]).withColumn("text", candidate_text(F.col("content"), cfg)).where("text is not null")
+    first = F.row_number().over(W.partitionBy("request_id").orderBy("idx"))
+    return s.withColumn("_r", first).where(F.col("_r") <= cfg.max_fan_out).select("request_id", "idx", "text", "decision", "confidence")
 
 
 def enqueue(new: DataFrame, queue: DataFrame, cfg: EngineConfig | None = None) -> DataFrame:
@@ -68,11 +71,13 @@ def enqueue(new: DataFrame, queue: DataFrame, cfg: EngineConfig | None = None) -
     return first.orderBy("ord").limit(room)
 
 
-def mark_consumed(queue: DataFrame, used: DataFrame) -> DataFrame:
-    """The queue with pending rows consumed whose text is in ``used`` (text alone decides)."""
-    hit = used.select("text").distinct().withColumn("_u", F.lit(True))
+def mark_consumed(queue: DataFrame, used: DataFrame, stripped: bool = False) -> DataFrame:
+    """The queue with pending rows consumed whose text is in ``used`` (text alone decides;
+    ``stripped``: as :func:`candidate_text` gives it)."""
+    hit = used.select(F.col("text").alias("_t")).distinct().withColumn("_u", F.lit(True))
     done = (F.col("status") == "pending") & F.col("_u").isNotNull()
-    return queue.join(hit, "text", "left").withColumn("status", F.when(done, "consumed").otherwise(F.col("status"))).drop("_u").select(*queue.columns)
+    own = candidate_text(F.col("text")) if stripped else F.col("text")
+    return queue.join(hit, own == F.col("_t"), "left").withColumn("status", F.when(done, "consumed").otherwise(F.col("status"))).drop("_u").select(*queue.columns)
 
 
 def queue_examples(queue: DataFrame, limit: int = 20_000) -> DataFrame:
@@ -95,21 +100,51 @@ def stratified_split(examples: DataFrame, val_split: float = 0.1, seed: int = 42
     """Adds ``split``: of each class, in an order shuffled by hash, the first round(n * val_split)
     (half to even) go to ``val``.
 
-    The rank of a row is taken in two levels (hash bucket totals, then rows of a
-    bucket), so a class of any size is spread over tasks.
+    The rank of a row is taken in two levels (:mod:`quernstone.operators.ranks`), so a
+    class of any size is spread over tasks.  A null label is a class of its own.
     """
-    h = F.xxhash64(F.lit(seed), "text")
-    bits = 8
-    d = examples.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned(F.col("_h"), 64 - bits))
-    totals = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(label)
-    base = totals.select(
-        label, "_b", F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
-        F.bround(F.sum("_n").over(w) * F.lit(val_split)).alias("_take"),
-    )
-    inside = W.partitionBy(label, "_b").orderBy("_h", "text")
-    ranked = d.join(F.broadcast(base), [label, "_b"]).withColumn("_r", F.col("_base") + F.row_number().over(inside))
-    return ranked.withColumn("split", F.when(F.col("_r") <= F.col("_take"), "val").otherwise("train")).drop("_h", "_b", "_base", "_take", "_r")
+    d = examples.withColumn("_h", F.xxhash64(F.lit(seed), "text"))
+    ranked = running_totals(d, [F.col("_h"), F.col("text")], {"_r": F.lit(1)}, [label])
+    # one row per class
+    take = examples.groupBy(F.col(label).alias("_label")).agg(F.bround(F.count(F.lit(1)) * F.lit(val_split)).alias("_take"))
+    out = ranked.join(take, F.col(label).eqNullSafe(F.col("_label")))
+    return out.withColumn("split", F.when(F.col("_r") <= F.col("_take"), "val").otherwise("train")).drop("_h", "_label", "_take", "_r")
+
+
+def valid_label(label: Column) -> Column:
+    """A label as it may be queued: 1 to 64 characters, and one of the known spellings."""
+    return F.length(F.trim(label)).between(1, 64) & collect_label(label).isNotNull()
+
+
+def refusal(text: Column, label: Column, cfg: EngineConfig | None = None) -> Column:
+    """Why a feedback item is refused, null if it is taken: no text, a text over the limit, an unknown label."""
+    n = F.length(py_strip(text))
+    return F.when(F.coalesce(n, F.lit(0)) < 1, "text is empty").when(F.length(text) > (cfg or EngineConfig()).max_text, "text is too long").when(~F.coalesce(valid_label(label), F.lit(False)), "unknown label")
+
+
+def build_dataset(queue: DataFrame | None, corpora: DataFrame, path: str, cfg: EngineConfig | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Builds the training set: pending examples of ``queue``, then ``corpora`` (text, label,
+    source, file_name, line_no), first-wins dedupe, stratified split, written under ``path``.
+
+    Returns (split_stats, the queue with the used items consumed).  Without a queue only
+    the corpora are read and nothing is consumed.  Nothing is consumed unless the set has been
+    written.
+    """
+    from quernstone.sources.sinks import write_dataset
+
+    cfg = cfg or EngineConfig()
+    parts = [corpora.select("text", "label", "source", F.lit(1).alias("_part"), F.col("file_name").alias("_a"), F.col("line_no").cast("string").alias("_b"), F.col("line_no").alias("_n"))]
+    if queue is not None:
+        q = queue_examples(queue)
+        at = F.date_format("ord.created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        parts.insert(0, q.select("text", "label", F.coalesce("source", F.lit("queue")).alias("source"), F.lit(0).alias("_part"), at.alias("_a"), F.col("ord.id").alias("_b"), F.lit(0).cast("bigint").alias("_n")))
+    union = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    order = ["_part", "_a", "_n", "_b"]
+    examples = dedupe_first(union, order).select("text", "label", "source")
+    # cut off: what is written and what is consumed must be the same rows
+    done = cut_lineage(stratified_split(examples, cfg.val_split, cfg.seed))
+    write_dataset(done, path)
+    return split_stats(done), None if queue is None else mark_consumed(queue, done, stripped=True)
 
 
 def split_stats(examples: DataFrame, split: str = "split") -> DataFrame:
@@ -129,11 +164,8 @@ def freeze_holdout(parts: list[tuple[DataFrame, int | None]], min_chars: int = 5
             d = d.orderBy(F.xxhash64(F.lit(seed), "text"), "text").limit(take)
         out = d if out is None else out.unionByName(d)
     kept = dedupe_first(out, ["rank", "text", "source"]).withColumn("h", F.xxhash64(F.lit(seed), F.lower("text")))
-    bits = 6
-    kept = kept.withColumn("b", F.shiftrightunsigned("h", 64 - bits))
-    base = kept.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    nr = F.col("base") + F.row_number().over(W.partitionBy("b").orderBy("h", "text")) - 1
-    return kept.join(F.broadcast(base), "b").select(nr.alias("item_no"), "source", "label", "text")
+    ranked = running_totals(kept, [F.col("h"), F.col("text")], {"nr": F.lit(1)})
+    return ranked.select((F.col("nr") - 1).alias("item_no"), "source", "label", "text")
 
 
 # -------------------------------------------------------------------- registry

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's ``spark.checkpoint.dir`` where it is
-    set, else (tests, notebooks) a local temporary folder."""
+    """Folder for checkpoints: the shared folder that the cluster names in
+    ``spark.checkpoint.dir``.  Where none is set, a session on one machine (``local[...]``)
+    gets a temporary one; on a cluster that raises, as no other machine could read it."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     wanted = spark.conf.get("spark.checkpoint.dir", None)
+    if not wanted and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="quernstone-ckpt-"))
     return sc.getCheckpointDir()
 

@@ -68,27 +68,30 @@ def coerce_example(v: Column, source: Column) -> Column:
 
 
 def read_corpora(spark: SparkSession, path: str) -> DataFrame:
-    """(text, label, source, file_name) of JSONL files (one or a folder of them).
+    """(text, label, source, file_name, line_no) of JSONL files (one or a folder of them).
 
     Blank lines, broken lines and lines that are no object are left out; a missing path
     is empty.  The file's name without suffix is the source.  First-wins order of files is
-    that of their names.
+    that of their names; of lines that of ``line_no``, which grows along a file (it is a line's place
+    in the scan, which splits a file in order).
     """
-    out = "text string, label int, source string, file_name string"
+    out = "text string, label int, source string, file_name string, line_no decimal(38,0)"
     glob = path if path.endswith(".jsonl") or "*" in path else os.path.join(path, "*.jsonl")
     try:
-        lines = spark.read.text(glob).select("value", F.col("_metadata.file_name").alias("file_name"))
+        place = F.col("_metadata.file_block_start").cast("decimal(38,0)") * F.lit(1 << 33).cast("decimal(38,0)") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        lines = spark.read.text(glob).select("value", F.col("_metadata.file_name").alias("file_name"), place.cast("decimal(38,0)").alias("line_no"))
     except AnalysisException:
         return empty(spark, out)
     v = F.try_parse_json("value")
     stem = F.regexp_replace("file_name", r"\.jsonl$", "")
     rows = lines.where(F.trim("value") != "").withColumn("v", v).where(F.schema_of_variant("v").startswith("OBJECT"))
-    return rows.select(coerce_example(F.col("v"), stem).alias("e"), "file_name").where("e is not null").select("e.*", "file_name")
+    got = rows.select(coerce_example(F.col("v"), stem).alias("e"), "file_name", "line_no").where("e is not null")
+    return got.select("e.*", "file_name", F.col("line_no").cast("decimal(38,0)").alias("line_no"))
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
     """(text, label, source) of a written split; broken lines are left out."""
-    return read_corpora(spark, path).drop("file_name")
+    return read_corpora(spark, path).drop("file_name", "line_no")
 
 
 def read_holdout(spark: SparkSession, path: str) -> DataFrame:
@@ -113,6 +116,20 @@ def instruction_text(instruction: Column, more: Column) -> Column:
     return F.concat_ws("\n", keep(instruction), keep(more))
 
 
+def read_instructions(spark: SparkSession, path: str, source: str = "alpaca", max_chars: int = 4000) -> DataFrame:
+    """Benign examples of an instruction set (instruction, input) in parquet: both joined, white space collapsed."""
+    df = spark.read.parquet(path)
+    more = F.coalesce(F.col("input").cast("string"), F.lit("")) if "input" in df.columns else F.lit("")
+    text = F.left(F.regexp_replace(py_strip(instruction_text(F.coalesce("instruction", F.lit("")), more)), r"(?U)\s+", " "), F.lit(max_chars))
+    return df.select(text.alias("text"), F.lit(0).alias("label"), F.lit(source).alias("source")).where("text <> ''")
+
+
+def read_labelled(spark: SparkSession, path: str, source: str = "pi", max_chars: int = 4000) -> DataFrame:
+    """Labelled prompts (text, label) in parquet; blank texts and null labels are left out."""
+    text = F.left(F.regexp_replace(py_strip(F.col("text")), r"(?U)\s+", " "), F.lit(max_chars))
+    return spark.read.parquet(path).select(text.alias("text"), F.col("label").cast("int").alias("label"), F.lit(source).alias("source")).where("text <> '' and label is not null")
+
+
 def read_exposition(spark: SparkSession, path: str) -> DataFrame:
     """(line, line_no) of scraped metrics text; a missing file is empty."""
     try:

@@ -28,7 +28,12 @@ def write_requests(requests: DataFrame, detections: DataFrame, root: str) -> Non
     append(detections, root, "detections")
 
 
-def attribution_rows(attributions: DataFrame, limit: int = 512) -> DataFrame:
+def attribution_rows(attributions: DataFrame, decisions: DataFrame | None = None, limit: int = 512) -> DataFrame:
+    """Rows for ``attributions``: text cut to the column's limit, the classifier as layer where none
+    is named, and the request's confidence as score where ``decisions`` are given."""
+    if decisions is not None:
+        c = decisions.select("request_id", F.col("confidence").alias("_c"))
+        attributions = attributions.join(c, "request_id", "left").withColumn("score", F.col("_c")).drop("_c")
     return attributions.withColumn("text", F.left("text", F.lit(limit))).withColumn("layer", F.coalesce(F.col("layer"), F.lit("classifier")))
 
 
