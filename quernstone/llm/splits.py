@@ -5,8 +5,13 @@ characters taken out) and hashed; evaluation hashes are joined with training
 hashes, which finds exact overlaps.  Texts that are not equal are met through
 hashes of their neighbouring words: texts of n and m words with a common sequence of
 L words have at least 3 L - 1 - n - m pairs of neighbours in common, as each word left
-out breaks one pair at most, so counting them loses nothing.  The bit-parallel longest
-common word sequence decides.
+out breaks one pair at most, so counting them loses nothing.
+
+The route is one for splits of any size.  Of every text only the rarest pieces count at
+first, as many as make sure that a near-same text shares one of them.  Training texts
+are cut into slices of about ``GROUP_WORDS`` words; an evaluation text goes to the slices
+that hold one of its rare pieces.  Within a slice all pieces are counted, and the
+bit-parallel longest common word sequence decides; pairs are never spelled out before.
 
 Exact copies are one class; classes are matched, records joined to their classes.
 """
@@ -16,7 +21,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import lookalike
+from quernstone.operators.skew import heavy_keys, join_unique
 from quernstone.session import cut_lineage, spread
 
 #: share of words kept in common and in order
 KEPT = 0.75
-#: words of evaluation texts up to which they are held by every worker; beyond, pieces are joined
-WORDS_HELD = 2_000_000
-#: pieces a joined pair must meet in
-MEETS = 2
+#: words of either split that one group holds, about
+GROUP_WORDS = 1_000_000
+#: slots of the table of piece frequencies, a bounded sketch: any order of pieces is right, a good one is fast
+SLOTS = 1 << 20
 
 _FOLD = str.maketrans(lookalike._FROM, lookalike._TO)
 _INVISIBLE = re.compile("[" + re.sub(r"\\x\{([0-9A-F]{4})\}", lambda m: "\\u" + m.group(1), lookalike.INVISIBLE[1:-1]) + "]")
@@ -67,20 +72,71 @@ def near(a: list[str], b: list[str]) -> bool:
     return min(len(a), len(b)) >= need and lcs(a, b) >= need
 
 
-def pieces(words: list[str]) -> list[int]:
-    """Hashes of the neighbouring words, repeated ones numbered.  Two texts of four words may
-    keep three in order and no neighbours, so texts of four words offer their words too."""
-    seen: dict[str, int] = {}
-    out = []
-    for p in [f"{x} {y}" for x, y in pairwise(words)] + (words if len(words) == 4 else []):
-        k = seen[p] = seen.get(p, 0) + 1
-        out.append(xxhash.xxh3_64_intdigest(p if k == 1 else f"{p} {k}") - (1 << 63))
-    return out
+class _Ids(dict):
+    """64-bit ids of words, remembered; what is remembered is bounded."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def pieces(texts: list[list[str]], ids: _Ids | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, number of the text) of the neighbouring words of all texts, repeated ones numbered.
+    Two texts of four words may keep three in order and no neighbours, so texts of four words
+    offer their words too."""
+    get = (ids if ids is not None else _Ids()).__getitem__
+    sizes = np.array([len(w) for w in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    x = np.array([get(w) for t in texts for w in t], np.uint64)
+    if len(x) == 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        h = (x[:-1] * _MIX) ^ (x[1:] + _STEP)
+        h = (h ^ (h >> np.uint64(29))) * _MIX
+        pair = owner[:-1] == owner[1:]
+        four = sizes[owner] == 4
+        hs, own = np.concatenate([h[pair], x[four]]), np.concatenate([owner[:-1][pair], owner[four]])
+        order = np.lexsort((hs, own))
+        hs, own = hs[order], own[order]
+        if len(hs) == 0:
+            return hs, own
+        fresh = np.ones(len(hs), bool)
+        fresh[1:] = (hs[1:] != hs[:-1]) | (own[1:] != own[:-1])
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(hs)), 0))
+        again = (np.arange(len(hs)) - first).astype(np.uint64)
+        return hs + again * _STEP, own
+
+
+def least_common(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Pieces that near-same texts of n and m words have in common at least."""
+    most = np.maximum(n, m)
+    return np.where((n == 4) & (m == 4), 3, np.maximum(1, 3 * -(-3 * most // 4) - 1 - n - m))
 
 
-def least_common(n: int, m: int) -> int:
-    """Pieces that near-same texts of n and m words have in common at least."""
-    return 3 if n == m == 4 else max(1, 3 * -(-3 * max(n, m) // 4) - 1 - n - m)
+def least_over_partners(n: np.ndarray) -> np.ndarray:
+    """The least of :func:`least_common` over the lengths m of all near-same texts: at m = n, or one
+    longer where that raises no count of words in common; for 4 words at 3."""
+    return np.where(n == 4, 1, np.maximum(1, 3 * -(-3 * n // 4) - 1 - 2 * n - (n % 4 == 3)))
+
+
+def rare(texts: list[list[str]], seen: np.ndarray, ids: _Ids | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, number of the text) of each text's rarest pieces, by ``seen``: so many that
+    only fewer than the least number in common are left out."""
+    hs, own = pieces(texts, ids)
+    if len(hs) == 0:
+        return hs, own
+    order = np.lexsort((hs, seen[(hs % np.uint64(SLOTS)).astype(np.int64)], own))
+    hs, own = hs[order], own[order]
+    total = np.bincount(own, minlength=len(texts))
+    start = np.concatenate([[0], np.cumsum(total)[:-1]])
+    take = total - least_over_partners(np.array([len(w) for w in texts])) + 1
+    keep = np.arange(len(hs)) - start[own] < take[own]
+    return hs[keep], own[keep]
 
 
 def canonical(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
@@ -97,111 +153,92 @@ def canonical(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFram
     return spread(df.select(F.col(id_col), F.col(text_col), *keep)).mapInArrow(run, schema)
 
 
-def _short(cls: F.Column) -> F.Column:
-    """First 60 bits of a class hash: what piece rows carry.  Classes that share them are
-    told apart when the texts are verified."""
-    return F.conv(F.substring(cls, 1, 15), 16, 10).cast("bigint")
-
-
-def _piece_rows(classes: DataFrame) -> DataFrame:
-    """(c, piece, n): pieces of each class, ``n`` its number of words."""
+def _frequencies(train: DataFrame) -> np.ndarray:
+    """How often training pieces fall into each of ``SLOTS`` slots; at most so many numbers come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = _Ids()
+        seen = np.zeros(SLOTS, np.int64)
         for b in batches:
-            ids, hs, ns = [], [], []
-            for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = t.split()
-                got = pieces(w)
-                ids += [int(c[:15], 16)] * len(got)
-                hs += got
-                ns += [len(w)] * len(got)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(ns, pa.int32())], ["c", "piece", "n"])
-
-    return classes.select("cls", "canon").mapInArrow(run, "c bigint, piece bigint, n int")
+            hs, _ = pieces([t.split() for t in b.column(0).to_pylist()], ids)
+            np.add.at(seen, (hs % np.uint64(SLOTS)).astype(np.int64), 1)
+        some = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(some, pa.int64()), pa.array(seen[some], pa.int64())], ["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in train.select("canon").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.slot] = r.n
+    return out
 
 
-def near_classes(val: DataFrame, train: DataFrame) -> DataFrame:
-    """(val_cls, train_cls): different canonical texts that are near-same."""
-    words = val.agg(F.sum(F.size(F.split("canon", " ")))).first()[0] or 0
-    return _near_held(val, train) if words <= WORDS_HELD else _near_joined(val, train)
-
-
-def _near_held(val: DataFrame, train: DataFrame) -> DataFrame:
-    """Every worker holds the evaluation texts and the lists of those that have a piece."""
-    rows = val.select("cls", "canon").collect()
-    classes, texts = [r.cls for r in rows], [r.canon for r in rows]
-    got = [pieces(t.split()) for t in texts]
-    hashes = np.array([h for g in got for h in g], np.int64)
-    order = np.argsort(hashes, kind="stable")
-    of = np.repeat(np.arange(len(got)), [len(g) for g in got])[order]
-    keys, starts = np.unique(hashes[order], return_index=True)
-    ends = np.append(starts[1:], len(of))
-    held = val.sparkSession.sparkContext.broadcast((classes, texts, keys, starts, ends, of))
+def _rare_rows(classes: DataFrame, seen, key: str) -> DataFrame:
+    """(piece, key) of each text's rare pieces; rows of one batch are given once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, texts, keys, starts, ends, of = held.value
-        split = [t.split() for t in texts]
-        size = np.array([len(w) for w in split], np.int64)
-        needs: dict[int, np.ndarray] = {}
+        ids = _Ids()
+        counts = np.frombuffer(seen.value, np.int64)
         for b in batches:
-            left, right = [], []
-            for cls, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = text.split()
-                m = len(w)
-                h = np.array(pieces(w), np.int64)
-                if not len(keys) or not len(h):
-                    continue
-                if m not in needs:
-                    if len(needs) > 500:
-                        needs.clear()
-                    far = np.minimum(size, m) * 4 < np.maximum(size, m) * 3
-                    needs[m] = np.where(far, m + 10, np.where((size == 4) & (m == 4), 3, np.maximum(1, 3 * -(-3 * np.maximum(size, m) // 4) - 1 - size - m)))
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                at = at[keys[at] == h]
-                if not len(at):
-                    continue
-                met = np.bincount(np.concatenate([of[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist())]), minlength=len(size))
-                for v in np.flatnonzero(met >= needs[m]).tolist():
-                    if classes[v] != cls and near(split[v], w):
-                        left.append(classes[v])
-                        right.append(cls)
-            yield pa.record_batch([pa.array(left, pa.string()), pa.array(right, pa.string())], ["val_cls", "train_cls"])
-
-    return spread(train.select("cls", "canon")).mapInArrow(run, "val_cls string, train_cls string")
-
-
-def _near_joined(val: DataFrame, train: DataFrame) -> DataFrame:
-    """The same rows by a join of pieces: an evaluation text offers its rarest pieces (by their
-    frequency in training), as many as ensure that a near-same text meets it ``MEETS`` times."""
-    train_pieces = _piece_rows(train).select(F.col("c").alias("tc"), "piece", F.col("n").alias("m"))
-    df = train_pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("df"))
-    present = _piece_rows(val).join(df, "piece").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "piece"))).alias("p"))
-    # the least of least_common(n, m) over all m: at m = n, but for n = 4 at m = 3
-    least = F.expr("if(n = 4, 1, greatest(1, 3 * ((3 * n + 3) div 4) - 1 - 2 * n))").cast("int")
-    meets = F.least(F.lit(MEETS), least)
-    take = F.size("p") - least + meets
-    rare = present.where(take > 0).select(F.col("c").alias("vc"), "n", (least - meets).alias("kept"), F.explode(F.slice("p", F.lit(1), take)).alias("s"))
-    need = F.expr("if(n = 4 and m = 4, 3, greatest(1, 3 * ((3 * greatest(n, m) + 3) div 4) - 1 - n - m)) - kept")
-    met = (
-        rare.select("vc", "n", "kept", F.col("s.piece").alias("piece"))
-        .join(train_pieces, "piece")
-        .where("4 * least(n, m) >= 3 * greatest(n, m)")
-        .groupBy("vc", "tc", "n", "m", "kept")
-        .count()
-        .where(F.col("count") >= need)
-        .select("vc", "tc")
-    )
-    with_val = met.join(val.select(_short(F.col("cls")).alias("vc"), F.col("cls").alias("val_cls"), F.col("canon").alias("a")), "vc")
-    both = with_val.join(train.select(_short(F.col("cls")).alias("tc"), F.col("cls").alias("train_cls"), F.col("canon").alias("b")), "tc")
-    both = both.where("val_cls <> train_cls")
+            hs, own = rare([t.split() for t in b.column(1).to_pylist()], counts, ids)
+            yield pa.record_batch([pa.array(hs.view(np.int64), pa.int64()), b.column(0).take(pa.array(own, pa.int64()))], ["piece", key])
+
+    t = classes.schema[key].dataType.simpleString()
+    return classes.select(key, "canon").mapInArrow(run, f"piece bigint, {key} {t}")
+
+
+def _count_group(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Near-same pairs of a group's evaluation (``left``) and training (``right``) texts, all pieces counted."""
+    vals, trains = left.column("cls").to_pylist(), right.column("cls").to_pylist()
+    a, b = ([t.split() for t in x.column("canon").to_pylist()] for x in (left, right))
+    ids = _Ids()
+    hs, own = pieces(a, ids)
+    order = np.argsort(hs, kind="stable")
+    of = own[order]
+    keys, starts = np.unique(hs[order], return_index=True)
+    ends = np.append(starts[1:], len(of))
+    size = np.array([len(w) for w in a], np.int64)
+    found: tuple[list, list] = ([], [])
+    if len(keys):
+        th, town = pieces(b, ids)
+        at = np.minimum(np.searchsorted(keys, th), len(keys) - 1)
+        hit = keys[at] == th
+        at, town = at[hit], town[hit]
+        bounds = np.searchsorted(town, np.arange(len(b) + 1))
+        for k, w in enumerate(b):
+            mine = at[bounds[k] : bounds[k + 1]]
+            if not len(mine):
+                continue
+            m = len(w)
+            met = np.bincount(np.concatenate([of[i:j] for i, j in zip(starts[mine].tolist(), ends[mine].tolist())]), minlength=len(size))
+            close = (np.minimum(size, m) * 4 >= np.maximum(size, m) * 3) & (met >= least_common(size, m)) & (met > 0)
+            for v in np.flatnonzero(close).tolist():
+                if vals[v] != trains[k] and near(a[v], w):
+                    found[0].append(vals[v])
+                    found[1].append(trains[k])
+    return pa.table([pa.array(found[0], pa.string()), pa.array(found[1], pa.string())], names=["val_cls", "train_cls"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [near(x.split(), y.split()) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            m = pa.array(ok, pa.bool_())
-            yield pa.record_batch([b.column(0).filter(m), b.column(1).filter(m)], ["val_cls", "train_cls"])
 
-    return both.select("val_cls", "train_cls", "a", "b").mapInArrow(verify, "val_cls string, train_cls string")
+def near_classes(val: DataFrame, train: DataFrame) -> DataFrame:
+    """(val_cls, train_cls): different canonical texts that are near-same.
+
+    A group holds one slice of the training texts and at most about as many words of
+    evaluation texts: where more are bound for a slice, it is taken several times.
+    """
+    spark = val.sparkSession
+    n_words = F.size(F.split("canon", " "))
+    seen = spark.sparkContext.broadcast(_frequencies(train).tobytes())
+    slices = max(spark.sparkContext.defaultParallelism, (train.agg(F.sum(n_words)).first()[0] or 0) // GROUP_WORDS)
+    sliced = train.withColumn("slice", F.pmod(F.xxhash64("cls"), F.lit(slices)).cast("int"))
+    holding = _rare_rows(sliced.repartition(slices, "slice"), seen, "slice").distinct()
+    asking = cut_lineage(_rare_rows(spread(val), seen, "cls"))
+    heavy = heavy_keys(asking.groupBy("piece").agg(F.count(F.lit(1)).alias("n")), "piece", "n", asking.count())
+    bound = join_unique(asking, holding, "piece", heavy, "inner", ["cls"]).select("slice", "cls").distinct()
+    bound = cut_lineage(bound.join(val.select("cls", n_words.alias("w")), "cls"))
+    # evaluation texts of a slice in blocks of bounded size, training texts once for each block
+    blocks = bound.groupBy("slice").agg(F.ceil(F.sum("w") / GROUP_WORDS).cast("int").alias("blocks"))
+    left = bound.join(blocks, "slice").select("cls", "slice", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
+    left = left.join(val.select("cls", F.col("canon").alias("canon")), "cls")
+    right = sliced.join(blocks, "slice").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("slice", "block", "cls", "canon")
+    return left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(_count_group, "val_cls string, train_cls string")
 
 
 def overlaps(examples: DataFrame, id_col: str = "example_id", text_col: str = "text", split_col: str = "split_name", source_col: str = "source", evaluation: str = "val", training: str = "train") -> DataFrame:
@@ -219,7 +256,8 @@ def overlaps(examples: DataFrame, id_col: str = "example_id", text_col: str = "t
     recs = cut_lineage(recs)
     val = recs.where(F.col("_split") == evaluation)
     train = recs.where(F.col("_split") == training)
-    val_cls, train_cls = val.select("cls", "canon").dropDuplicates(["cls"]), train.select("cls", "canon").dropDuplicates(["cls"])
+    # aliases: both come from one table, and their columns must not be taken for each other
+    val_cls, train_cls = (cut_lineage(x.select(F.col("cls").alias("cls"), F.col("canon").alias("canon")).distinct()) for x in (val, train))
     pairs = near_classes(val_cls, train_cls).withColumn("exact", F.lit(False))
     left = val.select(F.col("cls").alias("val_cls"), F.col("id").alias("val_id"), F.col("_source").alias("val_source"))
     right = train.select(F.col("cls").alias("train_cls"), F.col("id").alias("train_id"), F.col("_source").alias("train_source"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,14 +93,25 @@ def test_splits_meet_every_near_pair(spark):
     val, train = ([(i, splits.canonical_words(t)) for i, t, s, _ in rows if s == k] for k in ("val", "train"))
     want = {(a, b) for a, v in val for b, t in train if splits.near(v, t)}
     assert {tuple(r) for r in splits.overlaps(df).select("val_id", "train_id").collect()} == want and len(want) > 300
+    for n in range(1, 200):
+        m = np.arange(-(-3 * n // 4), 4 * n // 3 + 1)
+        assert splits.least_over_partners(np.array(n)) == splits.least_common(np.array(n), m).min()
+    seen = np.zeros(splits.SLOTS, np.int64)
+    hs, own = splits.pieces([t for _, t in train])
+    np.add.at(seen, (hs % np.uint64(splits.SLOTS)).astype(np.int64), 1)
+    few, all_ = ({}, {})
+    for name, rows_ in (("v", val), ("t", train)):
+        for into, (h, o) in ((all_, splits.pieces([w for _, w in rows_])), (few, splits.rare([w for _, w in rows_], seen))):
+            for x, k in zip(h.tolist(), o.tolist()):
+                into.setdefault(rows_[k][0], set()).add(x)
     for a, v in val:
         for b, t in train:
             if splits.near(v, t) and v != t:
-                assert len(set(splits.pieces(v)) & set(splits.pieces(t))) >= splits.least_common(len(v), len(t)), (v, t)
-    cls = splits.canonical(df, "example_id", "text", "split_name").dropDuplicates(["cls", "split_name"])
-    v, t = (cls.where(F.col("split_name") == k) for k in ("val", "train"))
-    held, joined = ({tuple(r) for r in f(v, t).collect()} for f in (splits._near_held, splits._near_joined))
-    assert held == joined and len(held) > 200
+                assert len(all_[a] & all_[b]) >= splits.least_common(np.array(len(v)), np.array(len(t))) and few[a] & few[b], (v, t)
+    with pytest.MonkeyPatch.context() as m:  # many slices, several blocks of each, hot pieces salted
+        m.setattr(splits, "GROUP_WORDS", 300)
+        m.setattr(skew, "ROWS_PER_TASK", 2)
+        assert {tuple(r) for r in splits.overlaps(df).select("val_id", "train_id").collect()} == want
 
 
 # ------------------------------------------------------------------ problem 8
