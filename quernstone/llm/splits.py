@@ -203,14 +203,20 @@ def _count_group(left: pa.Table, right: pa.Table) -> pa.Table:
         hit = keys[at] == th
         at, town = at[hit], town[hit]
         bounds = np.searchsorted(town, np.arange(len(b) + 1))
+        needs: dict[int, np.ndarray] = {}  # by the number of words of the training text
         for k, w in enumerate(b):
             mine = at[bounds[k] : bounds[k + 1]]
             if not len(mine):
                 continue
             m = len(w)
             met = np.bincount(np.concatenate([of[i:j] for i, j in zip(starts[mine].tolist(), ends[mine].tolist())]), minlength=len(size))
-            close = (np.minimum(size, m) * 4 >= np.maximum(size, m) * 3) & (met >= least_common(size, m)) & (met > 0)
-            for v in np.flatnonzero(close).tolist():
+            need = needs.get(m)
+            if need is None:
+                if len(needs) > 500:
+                    needs.clear()
+                near_size = np.minimum(size, m) * 4 >= np.maximum(size, m) * 3
+                need = needs[m] = np.where(near_size, least_common(size, np.array(m)), 1 << 40)
+            for v in np.flatnonzero(met >= need).tolist():
                 if vals[v] != trains[k] and near(a[v], w):
                     found[0].append(vals[v])
                     found[1].append(trains[k])
