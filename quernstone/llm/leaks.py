@@ -32,7 +32,7 @@ WINDOW = 12
 ERRORS = 1
 PIECE = WINDOW // (ERRORS + 1)
 #: size of the bit set: BITS_PER_PIECE for each piece of an item, at most MAX_BITS (16 MB)
-BITS_PER_PIECE, MAX_BITS = 16, 1 << 27
+BITS_PER_PIECE, MAX_BITS = 256, 1 << 27
 #: words around a piece that a window with errors can reach
 REACH = WINDOW - PIECE + ERRORS
 
