@@ -211,5 +211,4 @@ def _encoded_like(c: Column) -> Column:
 def normalized(c: Column) -> Column:
     """Normal form; needs a running session.  Texts that no step could change reach Python as
     nulls, so they cost neither transfer nor work there.  Arrow batches, one call per text."""
-    gate = may_change(c)
-    return F.when(gate, F.pandas_udf(_series, StringType())(F.when(gate, c))).otherwise(c)
+    return F.coalesce(F.pandas_udf(_series, StringType())(F.when(may_change(c), c)), c)

@@ -84,8 +84,7 @@ def run_chain(requests: DataFrame, rules: list[Rule], cfg: EngineConfig | None =
     """
     cfg = cfg or EngineConfig()
     segmented = segments_of.with_segments(requests.select(F.col("id").alias("request_id"), "request_body"))
-    exploded = segmented.select("request_id", F.explode("segments").alias("s")).select("request_id", "s.idx", "s.tag", "s.role", "s.content")
-    d = decide.decide(run_layers(exploded, rules, cfg, load_model, custom), cfg)
+    d = decide.decide(run_layers(segments_of.exploded(segmented), rules, cfg, load_model, custom), cfg)
     if not cfg.decision_on:
         d = d.select("request_id", F.lit("allow").alias("decision"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("deciding_layer"), F.array().cast("array<string>").alias("triggers"), F.lit(None).cast("int").alias("flagged_segment"))
     j = segmented.drop("request_body").join(d, "request_id", "left").withColumn("decision", F.coalesce("decision", F.lit("allow"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
