@@ -208,3 +208,17 @@ def test_checkpoint_folder(monkeypatch):
     sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=lambda d: None)
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: None)))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import datetime as dt
+
+    from quernstone.__main__ import main
+
+    (tmp_path / "c.jsonl").write_text("".join('{"text": "%s plant %d", "label": %d}\n' % ("hack the" if i % 2 else "water the", i, i % 2) for i in range(60)))
+    assert main(["dataset", str(tmp_path / "ds"), "--corpus", str(tmp_path)]) == 0 and main(["train", str(tmp_path / "ds")]) == 0
+    reg = spark.createDataFrame([("v1", None, None, None, None, dt.datetime(2025, 1, 1), "production"), ("v2", None, None, None, None, dt.datetime(2025, 1, 2), "candidate")], readers.REGISTRY_SCHEMA)
+    sinks.write_registry(reg, str(tmp_path / "reg"))
+    assert main(["registry", "promote", str(tmp_path / "reg"), "v2"]) == 0 and main(["registry", "remove", str(tmp_path / "reg"), "v1"]) == 0
+    assert [tuple(r) for r in readers.read_registry(spark, str(tmp_path / "reg")).select("version", "status").collect()] == [("v2", "production")]
+    assert main(["queries"]) == 0 and "segments" in capsys.readouterr().out
