@@ -222,3 +222,27 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["registry", "promote", str(tmp_path / "reg"), "v2"]) == 0 and main(["registry", "remove", str(tmp_path / "reg"), "v1"]) == 0
     assert [tuple(r) for r in readers.read_registry(spark, str(tmp_path / "reg")).select("version", "status").collect()] == [("v2", "production")]
     assert main(["queries"]) == 0 and "segments" in capsys.readouterr().out
+
+
+def test_log_sinks_and_tee(spark, tmp_path):
+    import datetime as dt
+
+    req = spark.createDataFrame([("r", dt.datetime(2025, 1, 1), "/p", "m" * 200, "block", 0.9, "C", False, 5, "b" * 9000)], "request_id string, created_at timestamp, path string, model string, decision string, confidence double, canary_token string, canary_hit boolean, latency_ms int, request_body string")
+    det = spark.createDataFrame([("d", "r", "block")], "id string, request_id string, level string")
+    sinks.write_requests(req, det, str(tmp_path))
+    row = readers.read_log_table(spark, str(tmp_path), "request_logs").first()
+    assert len(row.model) == 128 and len(row.request_body) == 8192 and row.method == "POST" and readers.read_log_table(spark, str(tmp_path), "detections").first().level == "block"
+    sinks.write_report(det, str(tmp_path / "rep"))
+    assert spark.read.json(str(tmp_path / "rep")).first().id == "d"
+    assert [r.ok for r in sinks.delivered(spark.createDataFrame([(200,), (400,), (None,)], "status int")).collect()] == [True, False, False]
+    det.write.parquet(str(tmp_path / "in"))
+    a, b = [], []
+    live.tee(readers.read_stream(spark, str(tmp_path / "in"), "id string, request_id string, level string"), [lambda d, e: a.extend(d.collect()), lambda d, e: b.extend(d.collect())], str(tmp_path / "c")).awaitTermination()
+    assert a == b and len(a) == 1
+
+
+def test_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.createDataFrame([(i, f"t{i}") for i in range(20)], "n int, text string").write.format("jdbc").option("url", url).option("dbtable", "items").option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    df = readers.read_jdbc(spark, url, "items", "n", 0, 20, 4)
+    assert df.count() == 20 and df.rdd.getNumPartitions() == 4
